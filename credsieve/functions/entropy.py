@@ -5,12 +5,15 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credsieve.functions.dialect import SPACE_CHARS
 from credsieve.functions.lets import let
 from credsieve.functions.spans import find_spans
 
 # What separates tokens, and the two alphabets secrets are written in.
-TOKEN_BREAKS = SPACE_CHARS + r"""'"`,;(){}\[\]<>\\/=:"""
+TOKEN_BREAKS = r"""\t\n\x0B\f\r\x1C\x1D\x1E\x1F '"`,;(){}\[\]<>\\/=:"""
+WIDE_SPACES = (
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 BASE64 = "A-Za-z0-9+/="
 HEX = "0-9a-fA-F"
 HEX_SIZE = 22
@@ -20,8 +23,17 @@ SLACK = 1e-9
 
 
 def tokens(content: Column, shortest: int = 1) -> Column:
-    """Spans of all tokens of at least ``shortest`` characters."""
-    return find_spans(content, F.lit(f"[^{TOKEN_BREAKS}]{{{shortest},}}"), False)
+    """Spans of all tokens of at least ``shortest`` characters.
+
+    A class of single ASCII characters is many times faster on the JVM than one with all of
+    Unicode's spaces, so those are first made plain spaces, which moves no offset and, as tokens
+    hold none, changes no value. Lines without multi-byte characters skip even that.
+    """
+    is_ascii = F.octet_length(content) == F.length(content)
+    plain = F.when(is_ascii, content).otherwise(
+        F.translate(content, WIDE_SPACES, " " * len(WIDE_SPACES))
+    )
+    return let(plain, lambda p: find_spans(p, F.lit(f"[^{TOKEN_BREAKS}]{{{shortest},}}"), False))
 
 
 def only(text: Column, alphabet: str) -> Column:
@@ -30,17 +42,17 @@ def only(text: Column, alphabet: str) -> Column:
 
 def shannon_entropy(text: Column, alphabet: str) -> Column:
     """Bits per character over the characters of ``text`` that are in ``alphabet``."""
-    return let(only(text, alphabet), _entropy)
+    return let(only(text, alphabet), lambda kept: _entropy(kept, _letters(kept)))
 
 
-def _entropy(kept: Column) -> Column:
+def _letters(kept: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(kept, F.lit("(?s)."), 0))
+
+
+def _entropy(kept: Column, letters: Column) -> Column:
     n = F.length(kept)
-    weighted = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(kept, F.lit("(?s)."), 0)),
-        F.lit(0.0),
-        lambda a, c: a
-        + let(n - F.length(F.replace(kept, c, F.lit(""))), lambda k: k * F.log2(k)),
-    )
+    counts = F.transform(letters, lambda c: n - F.length(F.replace(kept, c, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)
 
 
@@ -55,20 +67,30 @@ def best_entropy(token: Column) -> Column:
     )
 
 
-def fewest_characters(threshold: float) -> int:
-    """Entropy is at most log2 of the number of characters, which bounds their number below."""
+def fewest_letters(threshold: float) -> int:
+    """Entropy is at most log2 of the number of distinct characters, which bounds it below."""
     return math.ceil(2 ** (threshold - SLACK))
 
 
 def is_high_entropy(token: Column, threshold: float) -> Column:
-    """The base64 alphabet contains the hex one, so its count bounds both entropies.
+    """Whether the entropy over either alphabet reaches the threshold.
 
-    No hex text has more than log2(22) bits per character, so above that (as by default) only
-    base64 is computed.
+    The base64 alphabet contains the hex one, so its distinct characters bound both entropies
+    and most tokens are settled by counting them. No hex text has more than log2(22) bits per
+    character, so above that (as by default) hex is left out.
     """
-    bits = shannon_entropy(token, BASE64)
-    if threshold - SLACK <= math.log2(HEX_SIZE):
-        bits = best_entropy(token)["entropy"]
-    return F.when(
-        F.length(only(token, BASE64)) >= fewest_characters(threshold), bits >= threshold - SLACK
-    ).otherwise(F.lit(False))
+    hex_counts = threshold - SLACK <= math.log2(HEX_SIZE)
+
+    def reaches(kept: Column, letters: Column) -> Column:
+        found = _entropy(kept, letters) >= threshold - SLACK
+        return found | (shannon_entropy(kept, HEX) >= threshold - SLACK) if hex_counts else found
+
+    return let(
+        only(token, BASE64),
+        lambda kept: let(
+            _letters(kept),
+            lambda letters: F.when(
+                F.size(letters) >= fewest_letters(threshold), reaches(kept, letters)
+            ).otherwise(F.lit(False)),
+        ),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from credsieve.config import EntropySettings, RegexRule, ScanSettings
 from credsieve.functions.dialect import JvmPattern, NoJvmForm, jvm_pattern
-from credsieve.functions.entropy import fewest_characters, is_high_entropy, tokens
+from credsieve.functions.entropy import fewest_letters, is_high_entropy, tokens
 from credsieve.functions.lets import let
 from credsieve.functions.runs import has_long_run
 from credsieve.functions.spans import find_spans, overlaps
@@ -115,9 +115,13 @@ class RegexDetector:
         Few rules pass on any line, so the costly part of the plan is written once and not
         once per rule.
         """
-        picked = [
-            F.when(
-                self._guard(content, rule, form),
+
+        def picked(folded: Column) -> Column:
+            return F.array(*[pick(folded, i, rule, form) for i, rule, form in self.native])
+
+        def pick(folded: Column, i: int, rule: RegexRule, form: JvmPattern) -> Column:
+            return F.when(
+                self._guard(content, folded, rule, form),
                 F.struct(
                     F.lit(i).alias("ord"),
                     F.lit(rule.id).alias("id"),
@@ -127,11 +131,10 @@ class RegexDetector:
                     F.lit(form.grouped).alias("grouped"),
                 ),
             )
-            for i, rule, form in self.native
-        ]
+
         return F.flatten(
             F.transform(
-                F.array_compact(F.array(*picked)),
+                F.array_compact(let(F.lower(content), picked)),
                 lambda r: F.transform(
                     find_spans(content, r["regex"], r["grouped"]),
                     lambda s: hit(s, (r["id"], r["name"], r["severity"]), "regex", 0, r["ord"]),
@@ -140,11 +143,11 @@ class RegexDetector:
         )
 
     @staticmethod
-    def _guard(content: Column, rule: RegexRule, form: JvmPattern) -> Column:
+    def _guard(content: Column, folded: Column, rule: RegexRule, form: JvmPattern) -> Column:
         if form.literal:
             return content.contains(form.literal)
         if rule.folded:
-            return _any(F.lower(content).contains(t) for t in rule.folded)
+            return _any(folded.contains(t) for t in rule.folded)
         if rule.anchor:
             return _any(content.contains(t) for t in rule.anchor)
         return content.rlike(form.regex)
@@ -163,7 +166,7 @@ class EntropyDetector:
 
     @property
     def run_length(self) -> int | None:
-        return max(self.settings.min_length, fewest_characters(self.settings.threshold))
+        return max(self.settings.min_length, fewest_letters(self.settings.threshold))
 
     def cheap_tests(self, content: Column) -> list[Column]:
         return []
