@@ -14,7 +14,7 @@ from credsieve.functions.paths import basename, ignored_by, suffix
 from credsieve.functions.severity import report_level, severity_rank
 from credsieve.functions.spans import find_spans
 from credsieve.operators import summary as S
-from credsieve.operators.detectors import RegexDetector, all_hits, detectors_for, hit, may_hit
+from credsieve.operators.detectors import HITS, RegexDetector, all_hits, detectors_for, hit, may_hit
 from credsieve.operators.diffs import added_lines, latest_authors, range_lines
 from credsieve.operators.suppress import drop_baselined, drop_ignored
 from credsieve.plans import corpus as C
@@ -164,11 +164,13 @@ def redact_all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret of a line masked, overlapping ones as one."""
     content = F.col("content")
     detectors = detectors_for(default_settings())
-    lines = C.corpus_lines(spark, sf_dir).filter(may_hit(detectors, content))
-    return lines.select(
+    hits = F.when(may_hit(detectors, content), all_hits(detectors, content)).otherwise(F.array().cast(HITS))
+    found = C.corpus_lines(spark, sf_dir).select("file_path", "line_number", "content", hits.alias("hits"))
+    return found.select(
         "file_path",
         "line_number",
-        redact_spans(content, all_hits(detectors, content)).alias("safe_preview"),
+        F.size("hits").alias("n_hits"),
+        redact_spans(content, F.col("hits")).alias("safe_preview"),
     )
 
 
