@@ -6,6 +6,7 @@ column expressions, so the same detector serves batch and streaming plans withou
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import Protocol
@@ -25,6 +26,11 @@ from credsieve.schema import HIT
 HITS = f"array<{HIT.simpleString()}>"
 LONG_RUN = 16
 
+_RULE_TABLE = (
+    "array<struct<ord: int, id: string, name: string, severity: string, regex: string, grouped: boolean, "
+    "anchors: array<string>, folded: array<string>>>"
+)
+
 # How entropy hits are labelled.
 ENTROPY_RULE = ("high-entropy-string", "High Entropy String", "medium")
 
@@ -110,31 +116,23 @@ class RegexDetector:
         return F.concat(*found) if found else F.array().cast(HITS)
 
     def _native_hits(self, content: Column) -> Column:
-        """Pick the rules whose guard holds, then run one shared search over those.
+        """Pick the rules with an anchor on the line, then run one shared search over those.
 
-        Few rules pass on any line, so the costly part of the plan is written once and not
-        once per rule.
+        The rules are one constant of the plan. Few of them pass on any line, so the costly part
+        is written once and not once per rule.
         """
+        rules = F.from_json(F.lit(json.dumps([self._row(*r) for r in self.native])), _RULE_TABLE)
 
         def picked(folded: Column) -> Column:
-            return F.array(*[pick(folded, i, rule, form) for i, rule, form in self.native])
-
-        def pick(folded: Column, i: int, rule: RegexRule, form: JvmPattern) -> Column:
-            return F.when(
-                self._guard(content, folded, rule, form),
-                F.struct(
-                    F.lit(i).alias("ord"),
-                    F.lit(rule.id).alias("id"),
-                    F.lit(rule.name).alias("name"),
-                    F.lit(rule.severity).alias("severity"),
-                    F.lit(form.regex).alias("regex"),
-                    F.lit(form.grouped).alias("grouped"),
-                ),
+            return F.filter(
+                rules,
+                lambda r: F.exists(r["anchors"], lambda t: content.contains(t))
+                | F.exists(r["folded"], lambda t: folded.contains(t)),
             )
 
         return F.flatten(
             F.transform(
-                F.array_compact(let(F.lower(content), picked)),
+                let(F.lower(content), picked),
                 lambda r: F.transform(
                     find_spans(content, r["regex"], r["grouped"]),
                     lambda s: hit(s, (r["id"], r["name"], r["severity"]), "regex", 0, r["ord"]),
@@ -143,14 +141,20 @@ class RegexDetector:
         )
 
     @staticmethod
-    def _guard(content: Column, folded: Column, rule: RegexRule, form: JvmPattern) -> Column:
-        if form.literal:
-            return content.contains(form.literal)
-        if rule.folded:
-            return _any(folded.contains(t) for t in rule.folded)
-        if rule.anchor:
-            return _any(content.contains(t) for t in rule.anchor)
-        return content.rlike(form.regex)
+    def _row(i: int, rule: RegexRule, form: JvmPattern) -> dict[str, object]:
+        anchors = [form.literal] if form.literal else list(rule.anchor)
+        folded = [] if anchors else list(rule.folded)
+        return {
+            "ord": i,
+            "id": rule.id,
+            "name": rule.name,
+            "severity": rule.severity,
+            "regex": form.regex,
+            "grouped": form.grouped,
+            # Without any anchor the rule is searched for on every candidate line.
+            "anchors": anchors if anchors or folded else [""],
+            "folded": folded,
+        }
 
     def _exact_guard(self, content: Column) -> Column:
         if all(r.anchor for _, r in self.exact):
