@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of fewer splits than cores, as one small file is.
+
+    Scanning is far dearer than reading, so moving such an input once pays. A table of many
+    splits, which any large one is, stays where it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- derived lines ---------------------------------------------------------------------------
 
 
@@ -125,7 +135,7 @@ ORDER_LINES_SQL = (
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
-        ORDER_LINES_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders")
+        ORDER_LINES_SQL.replace("from orders", "from {orders}"), orders=spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     )
 
 
@@ -134,16 +144,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(path.alias("file_path"), "text")
+    return spread(table(spark, sf_dir, "documents").select(path.alias("file_path"), "text"))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("text")))
 
 
 def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-    return table(spark, sf_dir, "conversations").select(path.alias("file_path"), "text")
+    return spread(table(spark, sf_dir, "conversations").select(path.alias("file_path"), "text"))
 
 
 def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +218,7 @@ COMMITS_SQL = (
 
 
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = table(spark, sf_dir, "orders").withColumn(
+    sections = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(DIFF_PARTS - 1)))
     )
     return spark.sql(DIFF_LINES_SQL.replace("from sections", "from {sections}"), sections=sections)

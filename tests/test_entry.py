@@ -44,4 +44,4 @@ def test_same_rows(spark, duck, name):
 
 def test_plans_keep_python_out(spark):
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan and "CartesianProduct" not in plan
+    assert "Python" not in plan and "hashpartitioning" not in plan and "CartesianProduct" not in plan
