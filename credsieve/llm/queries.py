@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import mixing, packing, quality
+from credsieve.llm import fuzzy_lines, minhash, mixing, packing, paragraphs, quality
 from credsieve.llm.common import stash, table
 
 
@@ -40,8 +40,24 @@ def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return deduped.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing)
+    f.__name__: f for f in (
+        op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op8_tensored_minhash,
+        op9_fuzzy_lines, op10_paragraph_minhash,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
