@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credsieve.llm import linking
 from credsieve.llm.common import WordHashes, hash_family, min_hashes, mixed, shingle_set, ship, stash
@@ -72,7 +73,7 @@ def signature_udf(width: int, rows: int, bands: int, seed: int):
     return signature
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many bytes of two strings of one length are equal."""
     if not len(a):
@@ -93,7 +94,7 @@ def shingles_udf(width: int):
     return shingles
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_shingles(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted sets given as bytes."""
     sizes = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in zip(a, b, strict=True)]

@@ -13,17 +13,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credsieve.llm.common import SPACE, WordHashes, ship, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 REPEATED_WINDOW = 3
 
-MEASURES = {
-    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_lines": "long", "n_dup_lines": "long",
-    "n_repeat_words": "long", "n_letters": "long", "n_upper": "long",
-}
-MEASURED = ", ".join(f"{n} {t}" for n, t in MEASURES.items())
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper",
+]
+MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -72,7 +72,7 @@ def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     known = WordHashes()
     for texts in batches:
         rows = [measure_text(t, known) for t in texts]
-        yield pd.DataFrame(rows, columns=list(MEASURES)).astype("int64")
+        yield pd.DataFrame(rows, columns=MEASURES).astype("int64")
 
 
 # Bits never change their meaning; a changed rule is a new one with the next free bit.

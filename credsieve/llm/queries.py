@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import fuzzy_lines, minhash, mixing, packing, paragraphs, quality
+from credsieve.llm import fuzzy_lines, html_text, minhash, mixing, packing, paragraphs, quality, warc
 from credsieve.llm.common import stash, table
+from credsieve.scratch import shared_folder
 
 
 def tokenizer_path() -> str:
@@ -17,6 +18,55 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), "html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to archives in the shared folder, and back from there."""
+    path = shared_folder(spark, "warc")
+    warc.write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).cast("long")
+    whole = warc.read_warc(spark, path, ["record_type", "record_id", "payload"]).filter("record_type = 'response'")
+    responses = whole.select(
+        page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
+    heads = warc.read_warc(spark, path, ["record_type", "record_id", "refers_to", "payload_sha1", "http_length"])
+    revisits = heads.filter("record_type = 'revisit'").select(
+        page("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )
+    return responses.union(revisits)
+
+
+LEAST_REVISITED = 1000
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Of pages with equal payloads of some size, the one with the largest id is the response.
+
+    Payloads are compared by their SHA-256, summed up before they are joined, so that the texts do
+    not travel when few are repeated. Rows with the largest id are responses, each of them; a null
+    id is smaller than others.
+    """
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
+    )
+    big = F.octet_length("payload") >= LEAST_REVISITED
+    rows = rows.withColumn("same", F.when(big, F.sha2("payload", 256)))
+    tops = rows.filter(big).groupBy("same").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    joined = rows.join(tops.filter(F.col("n") > 1).drop("n"), "same", "left")
+    again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    return joined.select(
+        F.when(again, "revisit").otherwise("response").alias("record_type"), urn("page_id").alias("record_id"), "target_uri",
+        F.when(again, urn("top")).alias("refers_to"), "payload",
+    )
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
     return pieces.select(
@@ -55,7 +105,7 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op8_tensored_minhash,
+        op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op8_tensored_minhash,
         op9_fuzzy_lines, op10_paragraph_minhash,
     )
 }
