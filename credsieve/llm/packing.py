@@ -9,6 +9,7 @@ left at most; that one is cut into sequences whose lengths are powers of two. No
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,22 +33,43 @@ class TokenBytes(dict):
     """Little-endian 32-bit ids of white-space-free chunks, remembered up to a bound.
 
     The vocabulary's tokens never span white space, so a text's ids are those of its chunks in a row.
+    A chunk that is a letter's end followed by ASCII marks (no apostrophe) is cut there, as the
+    vocabulary cuts it; a chunk of ASCII letters is one entry of the model whatever its case.
     """
 
-    def __init__(self, path: str, remembered: int = 1 << 18):
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, remembered: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self[""] = b""
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        packed = np.asarray(ids, "<u4").tobytes()
+        core = chunk.rstrip(self.MARKS)
+        if not chunk:
+            return b""
+        if core and core != chunk and core[-1].lower()[-1].isalpha() and not any(s in chunk for s in self.special):
+            packed = self.part(core.lower() if core.isascii() else core) + self.part(chunk[len(core) :])
+        else:
+            packed = self.part(chunk)
+        return self.remember(chunk, packed)
+
+    def part(self, chunk: str) -> bytes:
+        packed = self.get(chunk)
+        if packed is None:
+            if chunk.isascii() and chunk.isalpha():
+                ids = [t.id for t in self.tokenizer.model.tokenize(chunk.lower())]
+            else:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            packed = self.remember(chunk, struct.pack(f"<{len(ids)}I", *ids))
+        return packed
+
+    def remember(self, chunk: str, packed: bytes) -> bytes:
         if len(chunk) <= 64:
             if len(self) >= self.remembered:
                 self.clear()
-                self[""] = b""
             self[chunk] = packed
         return packed
 
