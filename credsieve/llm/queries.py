@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import fuzzy_lines, html_text, minhash, mixing, packing, paragraphs, quality, warc
+from credsieve.llm import fuzzy_lines, html_text, minhash, mixing, packing, paragraphs, pii, quality, warc
 from credsieve.llm.common import stash, table
 from credsieve.scratch import shared_folder
 
@@ -90,6 +90,16 @@ def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+    base, added = [f"base_{k}" for k in pii.KINDS], [f"added_{k}" for k in pii.KINDS]
+    return found.select(
+        "doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(base + added).alias("spans"),
+        F.size(F.concat(*added)).cast("long").alias("n_added"),
+    )
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -105,7 +115,7 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op8_tensored_minhash,
+        op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op7_boosted_personal_data, op8_tensored_minhash,
         op9_fuzzy_lines, op10_paragraph_minhash,
     )
 }
