@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import fuzzy_lines, html_text, minhash, mixing, packing, paragraphs, pii, quality, warc
+from credsieve.llm import fuzzy_lines, hamming, html_text, minhash, mixing, packing, paragraphs, pii, quality, warc
 from credsieve.llm.common import stash, table
 from credsieve.scratch import shared_folder
 
@@ -74,6 +74,13 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest sign codes for every vector whose id is divisible by 100, against all vectors."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    codes = stash(codes, "hamming-codes")
+    return hamming.nearest(codes, codes.filter(F.col("vec_id") % 100 == 0), "vec_id", "code", k=10)
+
+
 def op5_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"), "text")
     digest = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -115,9 +122,50 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op5_rule_bitmask_ledger, op6_systematic_mixing, op7_boosted_personal_data, op8_tensored_minhash,
+        op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op4_multi_index_hashing, op5_rule_bitmask_ledger, op6_systematic_mixing, op7_boosted_personal_data, op8_tensored_minhash,
         op9_fuzzy_lines, op10_paragraph_minhash,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+SIGNS = "list_sum(list_transform(range(1, 65), lambda i: ((a.embedding[i] > 0) <> (b.embedding[i] > 0))::INT))"
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_multi_index_hashing": f"""
+with near as (
+    select a.vec_id as query_id, b.vec_id as neighbour_id, ({SIGNS})::INT as distance
+    from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), ranked as (
+    select *, row_number() over (partition by query_id order by distance, neighbour_id)::INT as rank from near
+)
+select * from ranked where rank <= 10
+""",
+    "op6_systematic_mixing": f"""
+with sized as (
+    select doc_id, source, coalesce(len({WORDS}), 0)::BIGINT as size from documents
+), sources as (
+    select source, sum(size)::BIGINT as source_size,
+        (row_number() over (order by source is null, source) - 1) % 3 + 1 as weight
+    from sized group by source
+), shares as (
+    select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over before, 0))::DOUBLE
+        / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as share
+    from sources
+    window before as (
+        order by 3 * source_size / weight, source is null, source rows between unbounded preceding and 1 preceding
+    )
+), targets as (
+    select source, source_size, least((3 * source_size)::DOUBLE, max(share) over () * weight) as target,
+        ('0x' || substr(sha256(coalesce('mix=' || source, 'mix')), 1, 5))::INT / 1048576.0::DOUBLE as start
+    from shares
+), placed as (
+    select s.doc_id, s.size, t.source_size, t.target, t.start,
+        case when t.source_size > 0 then t.target / t.source_size else 0.0 end::DOUBLE as rate,
+        row_number() over (partition by s.source order by s.size, s.doc_id) as place
+    from sized s join targets t on s.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+    (least(floor(start + rate * place) - floor(start + rate * (place - 1)), ceil(rate)) * size)::BIGINT as taken
+from placed
+""",
+}
