@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from credsieve.llm import mixing, packing, quality
+from credsieve.llm import fuzzy_lines, minhash, mixing, packing, quality
 from credsieve.llm.common import stash, table
 from credsieve.llm.queries import tokenizer_path
 
@@ -16,6 +17,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return book.filter(quality.passes(quality.CURRENT)).select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document, or line, has already; ``n_chars`` follows.
+
+    Every document stays. One whose lines all stand elsewhere is left as an empty text.
+    """
+    deduped = fuzzy_lines.dedup_lines(docs, "doc_id", "text")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return deduped.withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Rows that share an id are one document; the row with the smallest text stays. Rows without an id
+    stay.
+    """
+    groups = minhash.near_duplicates(docs, "doc_id", "text")
+    kept = groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    first = named.withColumn("__place", place).filter(F.col("__place") == 1)
+    return first.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document taken twice is two rows."""
     sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
@@ -31,6 +56,8 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", source_mix),
     ("sequence_packing", sequence_packing),
 ]

@@ -139,6 +139,38 @@ with near as (
     select *, row_number() over (partition by query_id order by distance, neighbour_id)::INT as rank from near
 )
 select * from ranked where rank <= 10
+""",
+    "op5_rule_bitmask_ledger": f"""
+with d as (
+    select doc_id, coalesce(text, '') as t, coalesce({WORDS}, []) as w from documents
+), windows as (
+    select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+    from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)
+), repeated as (
+    select doc_id, count(distinct p) as n from (
+        select doc_id, unnest([i, i + 1, i + 2]) as p
+        from (select *, count(*) over (partition by doc_id, g) as c from windows) where c > 1
+    ) group by doc_id
+), lines as (
+    select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d
+), measured as (
+    select d.doc_id, len(w)::BIGINT as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT as n_symbols,
+        len(l)::BIGINT as n_lines, (len(l) - len(list_distinct(l)))::BIGINT as n_dup_lines,
+        coalesce(r.n, 0)::BIGINT as n_repeat_words,
+        length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as letters,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as upper
+    from d join lines using (doc_id) left join repeated r using (doc_id)
+), failed as (
+    select *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+        + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
+        + 16 * (100 * upper > 30 * letters)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT
+        + 64 * (word_chars > 12 * n_words)::BIGINT)::BIGINT as failed_rules
+    from measured
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed,
+    failed_rules = 0 as kept, failed_rules
+from failed
 """,
     "op6_systematic_mixing": f"""
 with sized as (
