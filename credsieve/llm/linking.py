@@ -8,7 +8,9 @@ So no link is lost, and a bucket of many copies costs as many comparisons as it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credsieve.llm.common import stash
@@ -72,15 +74,26 @@ def undecided(members: DataFrame) -> DataFrame:
     return members.join(seen.filter(F.col("lo") != F.col("hi")).select("key"), "key", "left_semi")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket of ``key, id, component`` whose groups differ, each once."""
+def contested(members: DataFrame) -> DataFrame:
+    """Rows of ``key, id, component`` in buckets of several groups, with the largest group as ``main``."""
     groups = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = groups.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("groups"))
     main = main.filter(F.col("groups") > 1).select("key", F.col("main.component").alias("main"))
-    rows = stash(members.join(main, "key").select("key", "id", "component", "main"), "undecided")
-    strays = rows.filter(F.col("component") != F.col("main"))
-    strays = strays.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    others = rows.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), "main")
+    return stash(members.join(main, "key").select("key", "id", "component", "main"), "contested")
+
+
+def cross_pairs(rows: DataFrame, facts: DataFrame, possible: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs of one bucket of ``contested`` rows whose groups differ, each once.
+
+    ``facts`` has an id's columns for ``possible``, which gets the prefixes of both sides' columns and
+    must hold for every pair that can be linked.
+    """
+    names = [c for c in facts.columns if c != "id"]
+    known = rows.join(facts, "id")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in names]
+    strays = known.filter(F.col("component") != F.col("main"))
+    strays = strays.select("key", F.col("id").alias("a"), F.col("component").alias("of_a"), *side("a"))
+    others = known.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), "main", *side("b"))
     once = (F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = strays.join(others, "key").filter((F.col("of_a") != F.col("of_b")) & once)
+    pairs = strays.join(others, "key").filter((F.col("of_a") != F.col("of_b")) & once & possible("a_", "b_"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

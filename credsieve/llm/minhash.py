@@ -7,7 +7,9 @@ pair of bands, one from each collection, so ``bands ** 2`` tables of ``2 * rows`
 
 A document can meet another in a table only if it meets one in each collection, so single bands
 are matched first and only those that two groups of documents still share are paired up to table
-keys. Candidates have to agree in half of the minhashes or so (a bound that a true link misses once
+keys. A document of which too few shingles occur in any other contested document cannot be linked to
+one, which is where edited copies of one original, unlike each other, would be compared all with all.
+Candidates have to agree in half of the minhashes or so (a bound that a true link misses once
 in 10**9), and every link is confirmed on the full sets of shingles.
 """
 
@@ -83,22 +85,21 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def shingles_udf(width: int):
-    """Text to its sorted set of shingle hashes, as bytes."""
+    """Text to its set of shingle hashes."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = WordHashes()
         for texts in batches:
-            yield pd.Series([shingle_set(t, width, known).tobytes() for t in texts], dtype=object)
+            yield pd.Series([shingle_set(t, width, known).view(np.int64) for t in texts], dtype=object)
 
     return shingles
 
 
 @F.pandas_udf(T.LongType())
 def common_shingles(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted sets given as bytes."""
-    sizes = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in zip(a, b, strict=True)]
-    return pd.Series(sizes, dtype="int64")
+    """Size of the intersection of two sets."""
+    return pd.Series([len(np.intersect1d(x, y, True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def similar(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -124,6 +125,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar(shared, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def with_shared(sets: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, n, shared`` of ``ids``: set sizes, and how many shingles are in another's set as well.
+
+    What a document shares with all the others bounds what it shares with one.
+    """
+    rows = sets.join(stash(ids.distinct(), "set-ids"), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter(F.col("times") == 1)
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sized = nodes.select("id", "n").join(ids.distinct(), "id", "left_semi").join(alone, "id", "left")
+    return sized.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def possible_link(percent: int):
+    """Can sets of these sizes, sharing no more than they share with anyone, be similar enough?"""
+
+    def condition(a: str, b: str) -> Column:
+        most = F.least(f"{a}shared", f"{b}shared", f"{a}n", f"{b}n")
+        return (100 + percent) * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+    return condition
+
+
 def near_duplicates(
     docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, seed: int = 8
 ) -> DataFrame:
@@ -147,11 +170,11 @@ def near_duplicates(
     spread = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     alive = stash(linking.alive_members(spread.select("key", (F.col("band") < bands).alias("first"), "id")), "minhash-alive")
 
+    chosen = texts.join(stash(alive.select("id").distinct(), "minhash-ids"), "id").dropDuplicates(["id"])
+    sets = stash(chosen.select("id", shingles_udf(width)("text").alias("set")), "minhash-sets")
+
     def links(pairs: DataFrame) -> DataFrame:
         close = stash(plausible(pairs, nodes, percent, count), "minhash-pairs")
-        needed = stash(close.select("a").union(close.select("b")).distinct().toDF("id"), "minhash-needed")
-        chosen = texts.join(needed, "id").dropDuplicates(["id"])
-        sets = stash(chosen.select("id", shingles_udf(width)("text").alias("set")), "minhash-sets")
         return stash(confirm(close, sets, percent), "minhash-links")
 
     stars = links(linking.star_pairs(alive))
@@ -160,8 +183,10 @@ def near_duplicates(
     sides = open_bands.groupBy("id", "component").agg(side(True).alias("one"), side(False).alias("two"))
     paired = sides.select("id", "component", F.explode("one").alias("one"), "two")
     paired = paired.select("id", "component", "one", F.explode("two").alias("two"))
-    tables = paired.select(F.xxhash64("one", "two").alias("key"), "id", "component")
-    more = links(linking.cross_pairs(tables))
+    rows = linking.contested(paired.select(F.xxhash64("one", "two").alias("key"), "id", "component"))
+    facts = stash(with_shared(sets, rows.select("id"), nodes), "minhash-facts")
+    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n"))
+    more = links(linking.cross_pairs(rows, facts, possible_link(percent)))
     groups = linking.components(stars.union(more))
     found = base.select("id", "n", "digest").join(classes, "digest", "left")
     found = found.join(groups.withColumnRenamed("id", "rep"), "rep", "left")

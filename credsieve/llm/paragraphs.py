@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from credsieve.llm import linking
 from credsieve.llm.common import WordHashes, hash_family, ship, stash, window_hashes
 from credsieve.llm.fuzzy_lines import without_lines
-from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, plausible
+from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, plausible, possible_link, with_shared
 
 LEAST_WORDS = 25
 ROWS = 2
@@ -29,7 +29,7 @@ MARKS = 64
 WORDS_AT_ONCE = 1 << 16
 
 FOUND = "doc_id long, paragraph int, n_words int, id long, n int, bands array<long>, marks binary"
-SETS = "id long, set binary"
+SETS = "id long, set array<long>"
 
 
 def bands_for(percent: int, rows: int, recall: float) -> int:
@@ -109,7 +109,7 @@ def sign_worker(least_words: int, width: int, rows: int, bands: int, seed: int):
 
 def set_worker(least_words: int, width: int):
     """Sets of the paragraphs that a document's list of places names."""
-    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -120,12 +120,12 @@ def set_worker(least_words: int, width: int):
                 for place, words in long_paragraphs(text.as_py(), least_words):
                     if place in wanted:
                         ids.append(identity(words))
-                        sets.append(np.unique(window_hashes(known.of(words), width)).tobytes())
+                        sets.append(np.unique(window_hashes(known.of(words), width)).view(np.int64))
                         held += len(sets[-1])
-                    if held > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+                    if held > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
                         ids, sets, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     return work
 
@@ -154,17 +154,20 @@ def repeated_paragraphs(
     in_bucket = alive.select("id").distinct()
     nodes = stash(found.join(in_bucket, "id", "left_semi").select("id", "n", "marks").dropDuplicates(["id"]), "paragraph-nodes")
 
+    wanted = first.join(in_bucket, "id").groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted"))
+    chosen = texts.join(stash(wanted, "paragraphs-wanted"), "doc_id").select("wanted", "text")
+    sets = stash(chosen.mapInArrow(set_worker(least_words, width), SETS).dropDuplicates(["id"]), "paragraph-sets")
+
     def links(pairs: DataFrame) -> DataFrame:
         close = stash(plausible(pairs, nodes, percent, MARKS), "paragraph-pairs")
-        needed = close.select("a").union(close.select("b")).distinct().toDF("id")
-        wanted = first.join(needed, "id").groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted"))
-        chosen = texts.join(stash(wanted, "paragraphs-wanted"), "doc_id").select("wanted", "text")
-        sets = chosen.mapInArrow(set_worker(least_words, width), SETS).join(needed, "id", "left_semi")
-        return stash(confirm(close, stash(sets.dropDuplicates(["id"]), "paragraph-sets"), percent), "paragraph-links")
+        return stash(confirm(close, sets, percent), "paragraph-links")
 
     stars = links(linking.star_pairs(alive))
     grouped = linking.in_groups(alive.select("key", "id"), linking.components(stars))
-    more = links(linking.cross_pairs(linking.undecided(grouped)))
+    rows = linking.contested(linking.undecided(grouped))
+    facts = stash(with_shared(sets, rows.select("id"), nodes), "paragraph-facts")
+    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n"))
+    more = links(linking.cross_pairs(rows, facts, possible_link(percent)))
     groups = linking.components(stars.union(more))
     return occurrences(found, first, groups)
 
