@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,10 +11,15 @@ from credsieve.llm.common import stash, table
 from credsieve.llm.queries import tokenizer_path
 
 
+def whole(docs: DataFrame) -> Column:
+    """The document as one column, out of the way of what an operator adds."""
+    return F.struct(*docs.columns).alias("__doc")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
-    book = quality.ledger(docs, "text")
-    return book.filter(quality.passes(quality.CURRENT)).select(*docs.columns)
+    book = quality.ledger(docs.select(whole(docs), "text"), "text")
+    return book.filter(quality.passes(quality.CURRENT)).select("__doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every document stays. One whose lines all stand elsewhere is left as an empty text.
     """
-    deduped = fuzzy_lines.dedup_lines(docs, "doc_id", "text")
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return deduped.withColumn("n_chars", length).select(*docs.columns)
+    deduped = fuzzy_lines.dedup_lines(docs.select(whole(docs), "doc_id", "text"), "doc_id", "text")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__doc.n_chars"))
+    doc = F.col("__doc").withField("text", F.col("text")).withField("n_chars", length)
+    return deduped.select(doc.alias("__doc")).select("__doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +49,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a document taken twice is two rows."""
-    sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(sized, "doc_id", "source", "__size")
+    sized = docs.select(whole(docs), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(sized, "doc_id", "source", "size")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.filter(F.col("copies") > 0).withColumn("__time", times).select(*docs.columns)
+    return mixed.filter(F.col("copies") > 0).select("__doc", times).select("__doc.*")
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
