@@ -49,18 +49,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def alive_members(members: DataFrame) -> DataFrame:
-    """Rows of ``members`` (``key, id`` and more) whose bucket has two ids or more, with its pivot.
+    """Rows of ``members`` (``key, id`` and more) whose bucket has two ids or more.
 
     Buckets are summed up first, so a hot one is joined back and not gathered.
     """
-    ids = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
-    return members.join(ids.filter(F.col("pivot") != F.col("last")).drop("last"), "key")
+    ids = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return members.join(ids.filter(F.col("first") != F.col("last")).select("key"), "key", "left_semi")
 
 
-def star_pairs(alive: DataFrame) -> DataFrame:
-    """Each id with the pivots of its buckets."""
-    pairs = alive.filter(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    return pairs.distinct()
+def star_pairs(alive: DataFrame, apart: DataFrame) -> DataFrame:
+    """Each id with the pivots of its buckets.
+
+    ``apart`` says of each id how far from all others it is; the least apart of a bucket is its pivot,
+    as that one is linked to most.
+    """
+    ranked = alive.select("key", "id").join(apart, "id")
+    pivots = ranked.groupBy("key").agg(F.min(F.struct("apart", "id")).alias("pivot")).select("key", F.col("pivot.id").alias("b"))
+    pairs = alive.select("key", F.col("id").alias("a")).join(pivots, "key").filter(F.col("a") != F.col("b"))
+    return pairs.select("a", "b").distinct()
 
 
 def in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ pair of bands, one from each collection, so ``bands ** 2`` tables of ``2 * rows`
 
 A document can meet another in a table only if it meets one in each collection, so single bands
 are matched first and only those that two groups of documents still share are paired up to table
-keys. A document of which too few shingles occur in any other contested document cannot be linked to
-one, which is where edited copies of one original, unlike each other, would be compared all with all.
+keys. Copies of one original, edited each in its own way, share bands and may still be unlike each
+other. How many shingles a document has that no other candidate has tells the original from them, which
+makes it the bucket's pivot, and rules out links of those with too many; the rest is compared in full.
 Candidates have to agree in half of the minhashes or so (a bound that a true link misses once
 in 10**9), and every link is confirmed on the full sets of shingles.
 """
@@ -125,16 +126,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar(shared, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def with_shared(sets: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, n, shared`` of ``ids``: set sizes, and how many shingles are in another's set as well.
+def with_shared(sets: DataFrame) -> DataFrame:
+    """``id, n, shared, apart``: set sizes, how many shingles are in another's set as well, how many not.
 
     What a document shares with all the others bounds what it shares with one.
     """
-    rows = sets.join(stash(ids.distinct(), "set-ids"), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    rows = sets.select("id", F.explode("set").alias("shingle"))
     alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter(F.col("times") == 1)
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    sized = nodes.select("id", "n").join(ids.distinct(), "id", "left_semi").join(alone, "id", "left")
-    return sized.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    known = sets.select("id", F.size("set").alias("n")).join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return known.select("id", "n", (F.col("n") - F.col("alone")).alias("shared"), F.col("alone").alias("apart"))
 
 
 def possible_link(percent: int):
@@ -177,16 +178,16 @@ def near_duplicates(
         close = stash(plausible(pairs, nodes, percent, count), "minhash-pairs")
         return stash(confirm(close, sets, percent), "minhash-links")
 
-    stars = links(linking.star_pairs(alive))
-    open_bands = linking.undecided(linking.in_groups(alive.drop("pivot"), linking.components(stars)))
+    facts = stash(with_shared(sets), "minhash-facts")
+    stars = links(linking.star_pairs(alive, facts.select("id", "apart")))
+    open_bands = linking.undecided(linking.in_groups(alive, linking.components(stars)))
     side = lambda first: F.collect_set(F.when(F.col("first") == first, F.col("key")))
     sides = open_bands.groupBy("id", "component").agg(side(True).alias("one"), side(False).alias("two"))
     paired = sides.select("id", "component", F.explode("one").alias("one"), "two")
     paired = paired.select("id", "component", "one", F.explode("two").alias("two"))
     rows = linking.contested(paired.select(F.xxhash64("one", "two").alias("key"), "id", "component"))
-    facts = stash(with_shared(sets, rows.select("id"), nodes), "minhash-facts")
-    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n"))
-    more = links(linking.cross_pairs(rows, facts, possible_link(percent)))
+    linkable = facts.filter(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "shared")
+    more = links(linking.cross_pairs(rows, linkable, possible_link(percent)))
     groups = linking.components(stars.union(more))
     found = base.select("id", "n", "digest").join(classes, "digest", "left")
     found = found.join(groups.withColumnRenamed("id", "rep"), "rep", "left")

@@ -162,12 +162,12 @@ def repeated_paragraphs(
         close = stash(plausible(pairs, nodes, percent, MARKS), "paragraph-pairs")
         return stash(confirm(close, sets, percent), "paragraph-links")
 
-    stars = links(linking.star_pairs(alive))
+    facts = stash(with_shared(sets), "paragraph-facts")
+    stars = links(linking.star_pairs(alive, facts.select("id", "apart")))
     grouped = linking.in_groups(alive.select("key", "id"), linking.components(stars))
     rows = linking.contested(linking.undecided(grouped))
-    facts = stash(with_shared(sets, rows.select("id"), nodes), "paragraph-facts")
-    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n"))
-    more = links(linking.cross_pairs(rows, facts, possible_link(percent)))
+    linkable = facts.filter(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "shared")
+    more = links(linking.cross_pairs(rows, linkable, possible_link(percent)))
     groups = linking.components(stars.union(more))
     return occurrences(found, first, groups)
 
