@@ -20,7 +20,7 @@ WORD_CHARS = r"\p{L}\p{N}_"
 _PIECE = re.compile(
     r"""(?P<cls>\[\^?\]?(?:\\.|[^\]\\])*\])
       | (?P<esc>\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.))
-      | (?P<open>\((?:\?(?::|=|!|<=|<!|>))?(?!\?))
+      | (?P<open>\((?:\?(?:[ims]*(?:-[ims]+)?:|=|!|<=|<!|>|P<\w+>))?(?!\?))
       | (?P<close>\))
       | (?P<bar>\|)
       | (?P<many>(?:[*+?]|\{\d+(?:,\d*)?\}|\{,\d+\})[?+]?)
@@ -28,6 +28,10 @@ _PIECE = re.compile(
     re.S | re.X,
 )
 _IN_CLASS = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)|.", re.S)
+_BOUNDARY = {
+    "b": f"(?:(?<=[{WORD_CHARS}])(?![{WORD_CHARS}])|(?<![{WORD_CHARS}])(?=[{WORD_CHARS}]))",
+    "B": f"(?:(?<=[{WORD_CHARS}])(?=[{WORD_CHARS}])|(?<![{WORD_CHARS}])(?![{WORD_CHARS}]))",
+}
 _SHORTHAND = {"s": SPACE_CHARS, "d": DIGIT_CHARS, "w": WORD_CHARS}
 # Escapes with one meaning in both dialects (plus every escaped punctuation character).
 _SAME_ESCAPES = set("tnrfaAxu")
@@ -43,7 +47,7 @@ class JvmPattern:
 
     With a capture group the text before the group is captured too, as group 1, and the
     original group becomes group 2, so the group's offset is the match offset plus the length
-    of group 1.
+    of group 1. Of several groups the first counts; the others only group.
     """
 
     regex: str
@@ -54,8 +58,8 @@ class JvmPattern:
 def jvm_pattern(pattern: str) -> JvmPattern:
     """The JVM form of a Python pattern, or ``NoJvmForm``."""
     compiled = re.compile(pattern)
-    if compiled.groups > 1 or compiled.groupindex or compiled.search(""):
-        raise NoJvmForm("several or named groups, or an empty match")
+    if compiled.search(""):
+        raise NoJvmForm("an empty match")
     flags = compiled.flags & ~re.UNICODE
     if flags & ~(re.IGNORECASE | re.DOTALL | re.MULTILINE):
         raise NoJvmForm("flags")
@@ -66,6 +70,7 @@ def jvm_pattern(pattern: str) -> JvmPattern:
     group_at = group_end = None
     literal, literal_open, something = "", True, False
     top_bar = asserts = False
+    every = True
     pieces = list(_PIECE.finditer(body))
     for i, piece in enumerate(pieces):
         kind, text = piece.lastgroup, piece.group()
@@ -75,10 +80,15 @@ def jvm_pattern(pattern: str) -> JvmPattern:
         )
         repeated = following is not None and following.lastgroup == "many"
         if kind == "open":
-            if text == "(":
-                if depth or group_at is not None:
+            if text == "(" or text.startswith("(?P<"):
+                if group_at is not None:
+                    text = "(?:"
+                elif depth:
                     raise NoJvmForm("nested capture group")
-                group_at = len(out)
+                else:
+                    group_at, text = len(out), "("
+            elif text.endswith(":"):
+                text = text.replace("i", "iu")
             asserts |= text in ("(?=", "(?!", "(?<=", "(?<!")
             depth += 1
             literal_open = False
@@ -89,7 +99,9 @@ def jvm_pattern(pattern: str) -> JvmPattern:
                 if repeated:
                     raise NoJvmForm("repeated capture group")
         elif kind == "bar":
-            top_bar |= depth == 0
+            if depth == 0:
+                top_bar, every = True, every and something
+                something = False
             literal_open = False
         elif kind == "many":
             if text.startswith("{,"):
@@ -99,6 +111,12 @@ def jvm_pattern(pattern: str) -> JvmPattern:
             literal_open = False
         elif kind == "esc":
             plain = not text[1].isalnum()
+            if text[1] in "bB":
+                if repeated:
+                    raise NoJvmForm("repeated word boundary")
+                asserts, text = True, _BOUNDARY[text[1]]
+                out.append(text)
+                continue
             text = _escape(text)
             literal_open &= plain and not repeated
             if literal_open:
@@ -115,7 +133,7 @@ def jvm_pattern(pattern: str) -> JvmPattern:
             something |= not (kind == "char" and text in "^$") and text not in (r"\A", r"\z")
         out.append(text)
 
-    if asserts and (top_bar or not something):
+    if asserts and not (every and something):
         raise NoJvmForm("may match the empty string")
     if flags & re.IGNORECASE or top_bar:
         literal = ""

@@ -17,8 +17,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def report_level(severity: Column) -> Column:
-    return (
-        F.when(severity.isin("critical", "high"), F.lit("error"))
-        .when(severity == "low", F.lit("note"))
-        .otherwise(F.lit(OTHER_LEVEL))
-    )
+    out = F.lit(OTHER_LEVEL)
+    for name, level in LEVEL.items():
+        out = F.when(severity == name, F.lit(level)).otherwise(out)
+    return out

@@ -11,7 +11,8 @@ from credsieve.functions.lets import let
 from credsieve.schema import SPAN
 
 # A running sum grows its result array step by step; doing so in blocks keeps a line with very
-# many matches (a minified file, a whole document on one line) from going quadratic.
+# many matches (a minified file, a whole document on one line) from going quadratic. What a block
+# adds is summed once and carried on.
 BLOCK = 256
 
 
@@ -69,19 +70,26 @@ def _placed(parts: Column) -> Column:
             lambda a: a["spans"],
         )
 
+    def block(items: Column, b: Column) -> Column:
+        return F.slice(items, b * BLOCK + 1, BLOCK)
+
+    def blocks(items: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int"))
+
+    def bases(items: Column) -> Column:
+        """Where each block begins."""
+        return F.aggregate(
+            blocks(items),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda a, b: F.struct(
+                (a["at"] + total(block(items, b))).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")
+            ),
+            lambda a: a["starts"],
+        )
+
     return let(
         parts,
-        lambda all_parts: F.when(F.size(all_parts) <= BLOCK, run(all_parts, F.lit(0))).otherwise(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / BLOCK).cast("int")),
-                    lambda b: run(
-                        F.slice(all_parts, b * BLOCK + 1, BLOCK),
-                        total(F.slice(all_parts, F.lit(1), b * BLOCK)),
-                    ),
-                )
-            )
-        ),
+        lambda items: F.flatten(F.transform(bases(items), lambda base, b: run(block(items, b), base))),
     )
 
 

@@ -45,6 +45,8 @@ def added_lines(
     """
     block = F.floor(F.col("seq") / block_lines)
     marked = _kinds(diff_lines.select("diff_id", "seq", "raw", *keep).withColumn("block", block))
+    # Of other lines all that matters is known by now, so their text need not travel.
+    marked = marked.withColumn("raw", F.when(F.col("kind") == "added", F.col("raw")))
 
     sofar = (
         Window.partitionBy("diff_id", "block")
@@ -160,21 +162,27 @@ def latest_authors(commit_files: DataFrame) -> DataFrame:
     )
 
 
-def with_authors(lines: DataFrame, commit_files: DataFrame) -> DataFrame:
-    return lines.join(latest_authors(commit_files), "file_path", "left")
+def in_range(table: DataFrame, commit_range: str) -> DataFrame:
+    """Rows of a table with ``from_ref`` and ``to_ref`` that belong to the range."""
+    first, second = split_range(commit_range)
+    return table.filter((F.col("from_ref") == first) & (F.col("to_ref") == second))
 
 
-def range_lines(
-    diff_lines: DataFrame, commit_files: DataFrame, commit_range: str, **options
-) -> DataFrame:
-    """Added lines of one commit range, with authors.
+def with_authors(findings: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """Findings with the last author of their file; joined after detection, when few rows are left."""
+    columns = findings.columns if "author" in findings.columns else [*findings.columns, "author"]
+    return findings.drop("author").join(latest_authors(commit_files), "file_path", "left").select(*columns)
+
 
-    Both tables carry ``from_ref`` and ``to_ref``. A range without a diff is an error: it must
-    not pass for a clean one.
+def range_lines(diff_lines: DataFrame, commit_range: str, **options) -> DataFrame:
+    """Added lines of one commit range; ``diff_lines`` carries ``from_ref`` and ``to_ref``.
+
+    A range without a diff must not pass for a clean one: the scan of such lines fails when it
+    runs, not while it is planned.
     """
-    first, second = split_range(commit_range)
-    ours = (F.col("from_ref") == first) & (F.col("to_ref") == second)
-    diff = diff_lines.filter(ours)
-    if diff.isEmpty():
-        raise UnknownRange(f"no diff for {commit_range!r}")
-    return with_authors(added_lines(diff, **options), commit_files.filter(ours))
+    diff = in_range(diff_lines, commit_range)
+    known = diff.limit(1).agg(F.count(F.lit(1)).alias("known"))
+    unknown = F.raise_error(F.lit(f"no diff for {commit_range!r}"))
+    checked = known.select(F.when(F.col("known") == 0, unknown).cast("string").alias("nothing"))
+    # A subquery of one row, null or an error; it stands at the scan, which always runs.
+    return added_lines(diff.filter(checked.scalar().isNull()), **options)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.config import Allowlist, EntropySettings, ScanSettings, default_settings, user_settings
+from credsieve.config import Allowlist, EntropySettings, RegexRule, ScanSettings, default_settings, user_settings
 from credsieve.functions.entropy import best_entropy, tokens
 from credsieve.functions.masking import fingerprint, mask_secret, preview, redact_line, redact_spans
 from credsieve.functions.paths import basename, ignored_by, suffix
@@ -15,7 +15,7 @@ from credsieve.functions.severity import report_level, severity_rank
 from credsieve.functions.spans import find_spans
 from credsieve.operators import summary as S
 from credsieve.operators.detectors import HITS, RegexDetector, all_hits, detectors_for, hit, may_hit
-from credsieve.operators.diffs import added_lines, latest_authors, range_lines
+from credsieve.operators.diffs import added_lines, in_range, latest_authors, range_lines, with_authors
 from credsieve.operators.suppress import drop_baselined, drop_ignored
 from credsieve.plans import corpus as C
 from credsieve.plans.scan import Scan, scan
@@ -105,16 +105,25 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed_only(C.document_texts(spark, sf_dir), manifest).select("file_path", F.length("text").alias("n_chars"))
 
 
+# The longest derived line has some 200 characters, so a part has less than 1 MiB.
+PART_LINES = 4_000
+
+
+def write_parts(lines: DataFrame, path: str, codec: str = "none") -> None:
+    lines.write.partitionBy("svc").option("maxRecordsPerFile", PART_LINES).option("compression", codec).text(path)
+
+
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written out as a tree of text files, read back and scanned.
 
-    Part file names are Spark's own, so counts are given per folder. Compressed copies lie next
-    to the text files; their extension keeps them out.
+    Part file names are Spark's own, so counts are given per folder; parts are bounded by lines and
+    so stay below the size limit on any cluster. Compressed copies lie next to the text files; their
+    extension keeps them out. All lies below a folder whose name begins with a dot.
     """
     root = shared_folder(spark, "tree")
     lines = C.order_lines(spark, sf_dir).select(F.substring_index("file_path", "/", 1).alias("svc"), "content")
-    for folder, codec in (("text", "none"), ("packed", "gzip")):
-        lines.write.partitionBy("svc").option("compression", codec).text(f"{root}/{folder}")
+    for folder, codec in ((".conf/text", "none"), ("_packed", "gzip")):
+        write_parts(lines, f"{root}/{folder}", codec)
     files = read_files(spark, root)
     found = scan(lines_from_files(files), mode="working_tree", target=root).findings
     folder = F.regexp_extract("file_path", r"^(.*)/[^/]*\z", 1)
@@ -123,9 +132,9 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "tree")
-    lines = C.order_lines(spark, sf_dir)
-    lines.select(F.substring_index("file_path", "/", 1).alias("svc"), "content").write.partitionBy("svc").text(root)
-    found = scan(lines_from_files(read_files(spark, root, "svc=svc4"))).findings
+    lines = C.order_lines(spark, sf_dir).select(F.substring_index("file_path", "/", 1).alias("svc"), "content")
+    write_parts(lines, f"{root}/_all")
+    found = scan(lines_from_files(read_files(spark, root, "_all/svc=svc4"))).findings
     return found.groupBy("rule_id").agg(F.count("*").alias("findings"))
 
 
@@ -213,6 +222,18 @@ def regex_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_hits(C.corpus_lines(spark, sf_dir), [RegexDetector(default_settings().rules)]))
 
 
+# Rules as users write them: word boundaries, groups, a flag for one part.
+BOUNDARY_RULES = [
+    RegexRule("short-token", "Short token", r"\btok_[A-Za-z0-9]{6}\b", "high"),
+    RegexRule("db-host", "Database host", r"\bdb[0-9]+\.(?:example)\.(?:com|org)\b", "low"),
+    RegexRule("aws-words", "Key id with a name", r"(?i:AWS)_key = AKIA[A-Z0-9]{16}(?:\b|$)", "high"),
+]
+
+
+def user_rules_word_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_hits(C.corpus_lines(spark, sf_dir), [RegexDetector(BOUNDARY_RULES)]))
+
+
 def regex_on_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = default_settings().rules
     return _shown(_hits(C.corpus_lines(spark, sf_dir), [RegexDetector(rules, on_arrow=[r.id for r in rules])]))
@@ -327,12 +348,16 @@ def baseline_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_baselined(found, half_baseline(spark, sf_dir)).select("fingerprint", "rule_id", "file_path", "line_number")
 
 
-def baseline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def baseline_roundtrip(spark: SparkSession, sf_dir: str, table: bool = False) -> DataFrame:
     path = shared_folder(spark, "baseline")
-    write_baseline(corpus_scan(spark, sf_dir).findings, path)
+    write_baseline(corpus_scan(spark, sf_dir).findings, path, table=table)
     return corpus_scan(spark, sf_dir, user_config(baseline_file=path)).summary
 
 
+def baseline_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline_roundtrip(spark, sf_dir, table=True)
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scan(spark, sf_dir).summary
 
@@ -449,16 +474,15 @@ def staged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = user_config()
 
-    def in_range(df: DataFrame) -> DataFrame:
-        return df.withColumn("from_ref", F.lit("v1")).withColumn("to_ref", F.lit("v2"))
+    def with_refs(df: DataFrame, earlier: Column) -> DataFrame:
+        refs = F.when(earlier, F.array(F.lit("v0"), F.lit("v1"))).otherwise(F.array(F.lit("v1"), F.lit("v2")))
+        return df.withColumn("from_ref", refs[0]).withColumn("to_ref", refs[1])
 
-    lines = range_lines(
-        in_range(C.diff_lines(spark, sf_dir)),
-        in_range(C.commit_files(spark, sf_dir)),
-        "v1..v2",
-        ignore=settings.ignored_globs,
-    )
-    return scan(lines, settings, mode="commit_range", target="v1..v2").findings
+    diffs = with_refs(C.diff_lines(spark, sf_dir), F.col("diff_id") % 5 == 0)
+    commits = with_refs(C.commit_files(spark, sf_dir), F.col("author").isin(C.EARLIER_AUTHORS))
+    lines = range_lines(diffs, "v1..v2", ignore=settings.ignored_globs)
+    found = scan(lines, settings, mode="commit_range", target="v1..v2").findings
+    return with_authors(found, in_range(commits, "v1..v2"))
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -510,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "preview": previews,
     "ignored_paths": ignored_paths,
     "regex_matches": regex_matches,
+    "user_rules_word_boundary": user_rules_word_boundary,
     "regex_on_arrow": regex_on_arrow,
     "capture_groups": capture_groups,
     "tokens": all_tokens,
@@ -527,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "baseline_create": baseline_create,
     "baseline_suppress": baseline_suppress,
     "baseline_roundtrip": baseline_roundtrip,
+    "baseline_table_roundtrip": baseline_table_roundtrip,
     "summary": summary,
     "summary_with_baseline": summary_with_baseline,
     "by_severity": by_severity,

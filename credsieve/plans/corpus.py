@@ -21,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of fewer splits than cores, as one small file is.
-
-    Scanning is far dearer than reading, so moving such an input once pays. A table of many
-    splits, which any large one is, stays where it is and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- derived lines ---------------------------------------------------------------------------
 
 
@@ -128,14 +118,14 @@ def path_sql(key: str) -> str:
 
 
 ORDER_LINES_SQL = (
-    f"select {path_sql('o_orderkey')} as file_path, cast(o_orderkey as int) as line_number, "
+    f"select {path_sql('o_orderkey')} as file_path, cast(o_orderkey % 2000000000 as int) as line_number, "
     f"line as content from ({with_line_sql('orders', 'o_orderkey')}) as lined"
 )
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
-        ORDER_LINES_SQL.replace("from orders", "from {orders}"), orders=spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+        ORDER_LINES_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders").select("o_orderkey")
     )
 
 
@@ -144,16 +134,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return spread(table(spark, sf_dir, "documents").select(path.alias("file_path"), "text"))
+    return table(spark, sf_dir, "documents").select(path.alias("file_path"), "text")
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("text")))
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("file_path"), F.col("html").alias("text"))
 
 
 def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-    return spread(table(spark, sf_dir, "conversations").select(path.alias("file_path"), "text"))
+    return table(spark, sf_dir, "conversations").select(path.alias("file_path"), "text")
 
 
 def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,9 +198,11 @@ _SECTIONS_SQL = with_line_sql(
     "line_key",
 )
 DIFF_LINES_SQL = (
-    f"select o_custkey as diff_id, cast(o_orderkey * {DIFF_PARTS} + j as int) as seq, "
+    "select o_custkey as diff_id, cast(row_number() over (partition by o_custkey order by o_orderkey, j) - 1 as int) as seq, "
     f"case j {_RAW_SQL} end as raw from ({_SECTIONS_SQL}) as lined"
 )
+# Authors whose commits belong to an earlier range.
+EARLIER_AUTHORS = ["dev3@example.com", "dev8@example.com"]
 COMMITS_SQL = (
     f"select {DIFF_PATH_SQL} as file_path, concat('dev', cast(o_custkey % 20 as string), '@example.com') as author, "
     "o_orderdate as commit_ts from orders"
@@ -218,7 +210,7 @@ COMMITS_SQL = (
 
 
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).withColumn(
+    sections = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(DIFF_PARTS - 1)))
     )
     return spark.sql(DIFF_LINES_SQL.replace("from sections", "from {sections}"), sections=sections)
@@ -233,7 +225,7 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events ----------------------------------------------------------------------------------
 
 EVENT_LINES_SQL = (
-    "select concat('events/', event_type, '.log') as file_path, cast(event_id as int) as line_number, "
+    "select concat('events/', event_type, '.log') as file_path, cast(event_id % 2000000000 as int) as line_number, "
     f"line as content, ts from ({with_line_sql('events', 'user_id')}) as lined"
 )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from credsieve.plans import corpus as C
-from credsieve.plans.catalog import GROUPED, user_config
+from credsieve.plans.catalog import BOUNDARY_RULES, GROUPED, user_config
 from credsieve.config import default_settings
 from credsieve.rules import SKIPPED_SUFFIXES
 
@@ -260,6 +260,7 @@ ADDED = f"""
     and not list_contains({SKIPPED_SUFFIXES!r}, lower(regexp_extract(file_path, '[^/](\\.[^./]+)$', 1)))"""
 AUTHORS = f"""select file_path, arg_max(author, struct_pack(t := commit_ts, a := author)) as author
   from ({C.COMMITS_SQL}) as commits group by file_path"""
+RANGE_AUTHORS = AUTHORS.replace("group by file_path", f"where author not in {tuple(C.EARLIER_AUTHORS)} group by file_path")
 
 
 def document_files() -> str:
@@ -283,8 +284,8 @@ RULE_ROWS = ", ".join(
 HOST_HITS = f"""select 0 as rule_ord, 'internal-host' as rule_id, 'Internal Host' as rule_name, 'low' as severity,
   'regex' as match_type, 2 as engine_rank, lid, raw_value, cast(column_end - length(raw_value) as integer) as column_start, column_end
   from ({spans_sql('db[0-9]+[.]example[.]com', 'lines')}) as hosts"""
-SARIF_MESSAGE = "rule_name || ' detected. Secret (masked): ' || secret_masked || '. Review and rotate this credential immediately.'"
-TREE_PATH = "'text/svc=' || split_part(file_path, '/', 1)"
+SARIF_MESSAGE = "rule_name || ' found, masked as ' || secret_masked || '; revoke it and issue a new one'"
+TREE_PATH = "'.conf/text/svc=' || split_part(file_path, '/', 1)"
 
 
 def tree_findings(where: str = "true") -> str:
@@ -311,6 +312,7 @@ ORACLE_SQL: dict[str, str] = {
     "preview": f"select file_path, line_number, left(regexp_replace(' ' || chr(9) || content || '  ', {quoted(f'^[{SPACES}]+|[{SPACES}]+$')}, '', 'g'), 80) as preview from ({CORPUS}) as c",
     "ignored_paths": f"select file_path, {ignored_sql('file_path', DOC_IGNORED)} as ignored from (select file_path from ({C.ORDER_LINES_SQL}) as o union all select {DOCUMENT_PATH} from documents) as p",
     "regex_matches": hits_only(default_settings().rules, None),
+    "user_rules_word_boundary": hits_only(BOUNDARY_RULES, None),
     "regex_on_arrow": hits_only(default_settings().rules, None),
     "capture_groups": hits_only([r for r in user_config().rules if r.id in GROUPED], None),
     "tokens": f"with {numbered(CORPUS)} select file_path, line_number, raw_value as token, column_end - cast(length(raw_value) as integer) as column_start, column_end "
@@ -351,7 +353,7 @@ ORACLE_SQL: dict[str, str] = {
     "sarif_results": f"{scan_ctes()}, {SAFE} select rule_id as \"ruleId\", {LEVEL} as level, {SARIF_MESSAGE} as message, file_path as uri, line_number as \"startLine\", "
     "column_start + 1 as \"startColumn\", column_end + 1 as \"endColumn\", safe_preview as snippet, fingerprint, severity, match_type as \"matchType\", "
     "secret_masked as \"secretMasked\", author, commit_hash as \"commitHash\" from kept join safe using (lid)",
-    "sarif_rules": f"{scan_ctes()} select rule_id as id, rule_name as name, 'Detected by credsieve rule ''' || rule_id || ''' (' || match_type || ')' as \"fullDescription\", "
+    "sarif_rules": f"{scan_ctes()} select rule_id as id, rule_name as name, 'credsieve: ' || match_type || ' rule ' || rule_id as \"fullDescription\", "
     f"{LEVEL} as level, severity, match_type as \"matchType\" from ({FIRST}) as f where nth = 1",
     "sarif_documents": f"{scan_ctes()} select '2.1.0' as version, (select count(*) from matches where status <> 'kept') as suppressed, rule_id, true as rule_listed, "
     f"{LEVEL} as level, file_path as uri, line_number as start_line, column_start + 1 as start_column from kept",
@@ -359,7 +361,7 @@ ORACLE_SQL: dict[str, str] = {
     "author_map": AUTHORS,
     "staged_scan": f"{scan_ctes(f'select file_path, line_number, content from ({ADDED}) as a', mode='staged')} select {FINDING} from kept",
     "commit_range_scan": scan_ctes(
-        f"select a.file_path, line_number, content, w.author from ({ADDED}) as a left join ({AUTHORS}) as w on a.file_path = w.file_path",
+        f"select a.file_path, line_number, content, w.author from ({ADDED}) as a left join ({RANGE_AUTHORS}) as w on a.file_path = w.file_path where a.diff_id % 5 <> 0",
         mode="commit_range",
         columns="author",
     )
@@ -371,6 +373,7 @@ ORACLE_SQL: dict[str, str] = {
 }
 _KEPT = "regexp_replace(raw_value, '[^A-Za-z0-9+/=]', '', 'g')"
 _HEX = "regexp_replace(raw_value, '[^0-9a-fA-F]', '', 'g')"
+ORACLE_SQL["baseline_table_roundtrip"] = ORACLE_SQL["baseline_roundtrip"]
 ORACLE_SQL["entropy_scores"] = f"""with {numbered(CORPUS)},
   scored as (select lid, column_end - cast(length(raw_value) as integer) as column_start, {entropy(_KEPT)} as b, {entropy(_HEX)} as h
              from ({spans_sql(TOKEN.replace("''", "'") + '+', 'lines')}) as t where length(raw_value) between 20 and 256)

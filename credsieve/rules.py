@@ -70,11 +70,12 @@ IGNORED_GLOBS = [
 ]
 
 # File extensions that are not text, or are lock files.
-SKIPPED_SUFFIXES = (
-    ".png .jpg .jpeg .gif .bmp .ico .svg .webp .pdf .zip .tar .gz .bz2 .xz .7z .rar .exe .dll .so "
-    ".dylib .bin .obj .o .a .class .pyc .pyo .pyd .wasm .woff .woff2 .ttf .otf .eot .mp3 .mp4 .wav "
-    ".avi .mov .lock"
-).split()
+SKIPPED_SUFFIXES = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".pdf", ".zip", ".tar",
+    ".gz", ".bz2", ".xz", ".7z", ".rar", ".exe", ".dll", ".so", ".dylib", ".bin", ".obj", ".o",
+    ".a", ".class", ".pyc", ".pyo", ".pyd", ".wasm", ".woff", ".woff2", ".ttf", ".otf", ".eot",
+    ".mp3", ".mp4", ".wav", ".avi", ".mov", ".lock",
+]
 
 # Fixed value: the largest file read, in bytes.
 MAX_FILE_BYTES = 1024 * 1024

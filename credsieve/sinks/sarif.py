@@ -26,14 +26,14 @@ _WITH_NULLS = {"ignoreNullFields": "false"}
 def message_text(rule_name: Column, secret_masked: Column) -> Column:
     return F.concat(
         rule_name,
-        F.lit(" detected. Secret (masked): "),
+        F.lit(" found, masked as "),
         secret_masked,
-        F.lit(". Review and rotate this credential immediately."),
+        F.lit("; revoke it and issue a new one"),
     )
 
 
 def rule_text(rule_id: Column, match_type: Column) -> Column:
-    return F.concat(F.lit(f"Detected by {TOOL} rule '"), rule_id, F.lit("' ("), match_type, F.lit(")"))
+    return F.concat(F.lit(f"{TOOL}: "), match_type, F.lit(" rule "), rule_id)
 
 
 def result_columns(findings: DataFrame) -> DataFrame:

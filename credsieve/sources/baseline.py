@@ -13,7 +13,8 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Distinct fingerprints from JSON files (an object with ``fingerprints``, or a bare list).
 
     A missing path and a malformed document give no fingerprints. A directory may hold several
-    documents, as the baseline sink writes them.
+    documents, as the baseline sink writes them. A Parquet table, the sink's other form, is read
+    as one.
     """
     try:
         docs = spark.read.text(path, wholetext=True)
@@ -21,6 +22,8 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], BASELINE)
+    if any(f.endswith(".parquet") for f in docs.inputFiles()):
+        return read_baseline_table(spark, path)
     return parse_baseline(docs)
 
 

@@ -12,9 +12,6 @@ from credsieve.config import RegexRule, SettingsError
 from credsieve.rules import BUILTIN_RULES
 from credsieve.schema import RULES
 
-# A rule set is settings, not data: it ends up as literals in the plan.
-MOST_RULES = 5000
-
 
 def rules_table(spark: SparkSession, rules: Iterable[RegexRule]) -> DataFrame:
     rows = [(i, r.id, r.name, r.pattern, r.severity, r.description) for i, r in enumerate(rules)]
@@ -35,18 +32,19 @@ def merge_rules(base: DataFrame, user: DataFrame) -> DataFrame:
         .withColumn("_latest", F.row_number().over(latest))
         .filter(F.col("_latest") == 1)
     )
-    # One task orders the rules; a rule set is bounded by MOST_RULES.
+    # One task orders the rules, which are settings and not data.
     ordered = F.row_number().over(Window.orderBy("_place._source", "_place.rule_ord")) - 1
     return picked.withColumn("rule_ord", ordered.cast("int")).select(*RULES.fieldNames())
 
 
 def rules_from_table(rules: DataFrame) -> list[RegexRule]:
-    """Validated rules from a table, in order; built-in rules keep their search hints."""
-    rows = rules.orderBy("rule_ord").limit(MOST_RULES + 1).collect()
+    """Validated rules from a table, in order; built-in rules keep their search hints.
+
+    A rule set is settings, not data: it comes to the driver and ends up as literals in the plan.
+    """
+    rows = rules.orderBy("rule_ord").collect()
     if not rows:
         raise SettingsError("the rule table is empty")
-    if len(rows) > MOST_RULES:
-        raise SettingsError(f"more than {MOST_RULES} rules")
     hints = {(r.id, r.pattern): r for r in BUILTIN_RULES}
     out = []
     for r in rows:

@@ -145,6 +145,14 @@ TEXTS = [
     "a\rc a c a\nc",
     "v1 v2",
     "{x}{x}",
+    r"\bx",
+    r"x\b",
+    r"\Bx\B|\b\w\w\b",
+    "(a)(b)",
+    "(?P<n>a)b",
+    "((a)b)",
+    "(?i:a)b",
+    r"(?i:K(?-i:e))y",
 ]
 
 
@@ -157,7 +165,7 @@ def test_jvm_patterns_agree_with_python(spark):
         assert [[tuple(s) for s in row] for row in got] == want, pattern
 
 
-@pytest.mark.parametrize("pattern", ["a*", "(a)(b)", "(?P<n>a)b", r"\bx", "(a)+b", "((a)b)", "(?=a)", "(?x)a b", "a|(b)", "(?i:a)b"])
+@pytest.mark.parametrize("pattern", ["a*", "(a)+b", "(?=a)", "(?x)a b", "a|(b)", r"(a)\1", r"\b", r"x|\B"])
 def test_patterns_without_jvm_form(pattern):
     with pytest.raises(NoJvmForm):
         jvm_pattern(pattern)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from credsieve import scan
 from credsieve.operators.diffs import (
-    UnknownRange, added_lines, diff_lines_from_text, latest_authors, range_lines, split_range,
+    UnknownRange, added_lines, diff_lines_from_text, in_range, latest_authors, range_lines, split_range,
+    with_authors,
 )
 from credsieve.rules import MAX_FILE_BYTES
 from credsieve.sources.files import lines_from_files, read_files
@@ -36,8 +37,7 @@ def test_tree(spark, tmp_path):
     }.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    files = read_files(spark, str(root))
-    lines = lines_from_files(files)
+    lines = lines_from_files(read_files(spark, str(root)))
     got = {(r.file_path, r.line_number): r.content for r in lines.filter("file_path <> 'edge.txt'").collect()}
     assert got == {
         ("src/a.py", 1): KEY,
@@ -51,7 +51,34 @@ def test_tree(spark, tmp_path):
     sub = lines_from_files(read_files(spark, str(root), "src"))
     assert {r.file_path for r in sub.collect()} == {"src/a.py", "src/deep/b.txt"}
     manifest = spark.createDataFrame([("src/a.py",)], "file_path string")
-    assert lines_from_files(files, manifest=manifest).count() == 2
+    assert lines_from_files(read_files(spark, str(root), manifest=manifest)).count() == 2
+
+
+HIDDEN = [
+    ".env", ".aws/credentials", "src/.npmrc", "pkg/__init__.py", "_conf/x.py", "src/app.py", "a b/c#1.py", "k=v/z.py",
+]
+
+
+def test_no_name_is_left_out(spark, tmp_path):
+    for name in HIDDEN:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"key = {KEY}\n")
+    (tmp_path / "back").symlink_to(tmp_path)
+
+    def names(**options):
+        return sorted(r.file_path for r in scan(lines_from_files(read_files(spark, str(tmp_path), **options))).findings.collect())
+
+    assert names() == sorted(HIDDEN)
+    assert names(subtree=".aws") == [".aws/credentials"]
+    manifest = spark.createDataFrame([(".env",), ("pkg/__init__.py",), ("gone",)], "file_path string")
+    assert names(manifest=manifest) == [".env", "pkg/__init__.py"]
+    opened = read_files(spark, str(tmp_path), manifest=manifest)
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join"), "content is read after the join"
+
+
+def test_an_empty_tree(spark, tmp_path):
+    assert read_files(spark, str(tmp_path)).count() == 0
 
 
 DIFF = """diff --git a/src/a.py b/src/a.py
@@ -101,7 +128,7 @@ def test_added_lines_in_blocks_of_any_size(spark, block):
         assert [(r.file_path, r.line_number, r.content) for r in got] == WANT
 
 
-def test_ranges_and_authors(spark):
+def test_ranges_and_authors(spark, tmp_path):
     commits = spark.createDataFrame(
         [("src/a.py", "old@x", "2024-01-01", "A", "B"), ("src/a.py", "new@x", "2024-02-01", "A", "B")],
         "file_path string, author string, commit_ts string, from_ref string, to_ref string",
@@ -109,10 +136,15 @@ def test_ranges_and_authors(spark):
     assert latest_authors(commits).first().author == "new@x"
     text = spark.createDataFrame([(1, DIFF)], "diff_id long, text string")
     diff = diff_lines_from_text(text, "diff_id", "text").withColumn("from_ref", F.lit("A")).withColumn("to_ref", F.lit("B"))
-    got = {(r.file_path, r.author) for r in range_lines(diff, commits, "A..B").collect()}
+    diff.write.parquet(str(tmp_path / "diff"))
+    diff = spark.read.parquet(str(tmp_path / "diff"))
+    lines = range_lines(diff, "A..B").select("file_path")
+    got = {(r.file_path, r.author) for r in with_authors(lines, in_range(commits, "A..B")).collect()}
     assert got == {("src/a.py", "new@x"), ("old", None)}
-    with pytest.raises(UnknownRange):
-        range_lines(diff, commits, "A..C")
+    other = diff.withColumn("to_ref", F.lit("C")).withColumn("raw", F.concat("raw", F.lit("!"))).unionByName(diff)
+    assert sorted(range_lines(other, "A..B").select("content").collect()) == sorted(range_lines(diff, "A..B").select("content").collect())
+    with pytest.raises(Exception, match="no diff for"):
+        range_lines(diff, "A..C").collect()
     with pytest.raises(UnknownRange):
         split_range("HEAD")
     assert split_range("a..b..c") == ("a", "b..c")
