@@ -17,7 +17,7 @@ def stream_findings(
     """Findings of a stream of lines.
 
     Detection is row by row and keeps no state. A baseline is a static table the stream is
-    joined with, read anew for every batch.
+    joined with, as it was when the stream was started; restart the stream to take up a new one.
     """
     if not lines.isStreaming:
         raise ValueError("the lines are not a stream")
