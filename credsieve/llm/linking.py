@@ -1,6 +1,6 @@
 """From buckets of candidates to connected groups, without ever listing all pairs of a bucket.
 
-A bucket's members are first compared with one pivot only. Whoever is linked to it shares its group.
+A bucket's members are first compared with a few pivots only. Whoever is linked to it shares its group.
 After that the sole pairs that can still join groups lie across groups of one bucket, and those are
 compared in full: each member outside the bucket's largest group with all members of other groups.
 So no link is lost, and a bucket of many copies costs as many comparisons as it has members.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from credsieve.llm.common import stash
 
 MOST_ROUNDS = 200
+PIVOTS = 3
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -60,13 +61,17 @@ def alive_members(members: DataFrame) -> DataFrame:
 def star_pairs(alive: DataFrame, apart: DataFrame) -> DataFrame:
     """Each id with the pivots of its buckets.
 
-    ``apart`` says of each id how far from all others it is; the least apart of a bucket is its pivot,
-    as that one is linked to most.
+    ``apart`` says of each id how far from all others it is; the least apart of a bucket is one pivot,
+    as it is linked to most, and some are drawn by a hash that differs from bucket to bucket, so an id
+    meets many members of its group over all its buckets.
     """
+    drawn = [F.min(F.struct(F.xxhash64("key", "id", F.lit(k)).alias("h"), "id")).alias(f"drawn{k}") for k in range(PIVOTS)]
     ranked = alive.select("key", "id").join(apart, "id")
-    pivots = ranked.groupBy("key").agg(F.min(F.struct("apart", "id")).alias("pivot")).select("key", F.col("pivot.id").alias("b"))
-    pairs = alive.select("key", F.col("id").alias("a")).join(pivots, "key").filter(F.col("a") != F.col("b"))
-    return pairs.select("a", "b").distinct()
+    pivots = ranked.groupBy("key").agg(F.min(F.struct("apart", "id")).alias("least"), *drawn)
+    chosen = F.array_distinct(F.array("least.id", *[f"drawn{k}.id" for k in range(PIVOTS)]))
+    pairs = alive.select("key", "id").join(pivots.select("key", chosen.alias("pivots")), "key")
+    pairs = pairs.select("id", F.explode("pivots").alias("pivot")).filter(F.col("id") != F.col("pivot"))
+    return pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
 
 def in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ A document can meet another in a table only if it meets one in each collection,
 are matched first and only those that two groups of documents still share are paired up to table
 keys. Copies of one original, edited each in its own way, share bands and may still be unlike each
 other. How many shingles a document has that no other candidate has tells the original from them, which
-makes it the bucket's pivot, and rules out links of those with too many; the rest is compared in full.
+makes it the bucket's pivot. Of pairs that are still open, those that share a rare shingle are found by
+it, and others only compared if what they have besides rare shingles suffices (``open_pairs``).
 Candidates have to agree in half of the minhashes or so (a bound that a true link misses once
 in 10**9), and every link is confirmed on the full sets of shingles.
 """
@@ -32,6 +33,7 @@ WIDTH = 5
 PERCENT = 75
 ROWS, BANDS = 3, 18
 LOSS = 1e-9
+RARE = 8
 
 
 def least_agreement(count: int, percent: int, loss: float = LOSS) -> int:
@@ -126,26 +128,40 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar(shared, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def with_shared(sets: DataFrame) -> DataFrame:
-    """``id, n, shared, apart``: set sizes, how many shingles are in another's set as well, how many not.
-
-    What a document shares with all the others bounds what it shares with one.
-    """
+def loneliness(sets: DataFrame) -> DataFrame:
+    """``id, apart``: how many shingles of a set are in no other, larger sets first of equal ones."""
     rows = sets.select("id", F.explode("set").alias("shingle"))
     alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).filter(F.col("times") == 1)
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    known = sets.select("id", F.size("set").alias("n")).join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    return known.select("id", "n", (F.col("n") - F.col("alone")).alias("shared"), F.col("alone").alias("apart"))
+    known = sets.select("id", F.size("set").alias("n")).join(alone, "id", "left")
+    return known.select("id", F.struct(F.coalesce("alone", F.lit(0)).alias("alone"), (-F.col("n")).alias("n")).alias("apart"))
 
 
-def possible_link(percent: int):
-    """Can sets of these sizes, sharing no more than they share with anyone, be similar enough?"""
+def open_pairs(rows: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs across the groups of ``contested`` rows that can still be links.
 
-    def condition(a: str, b: str) -> Column:
-        most = F.least(f"{a}shared", f"{b}shared", f"{a}n", f"{b}n")
+    Two sets either share a shingle that ``rare`` contested sets or fewer have, and meet in that one's
+    short list; or they share only others, of which each must then have enough. The second kind of
+    pairs is looked for in the buckets. Both ways together leave out no pair of a bucket that can be
+    similar enough, whatever ``rare`` is.
+    """
+    ids = stash(rows.select("id", "component").distinct(), "contested-ids")
+    chosen = sets.join(ids.select("id"), "id", "left_semi")
+    shingles = chosen.select("id", F.explode("set").alias("shingle"))
+    listed = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") <= rare)
+    listed = stash(shingles.join(listed, "shingle"), "rare-shingles")
+    few = listed.groupBy("id").agg(F.count(F.lit(1)).alias("few"))
+    facts = chosen.select("id", F.size("set").alias("n")).join(few, "id", "left")
+    facts = facts.select("id", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("shared"))
+    facts = stash(facts.filter(100 * F.col("shared") >= percent * F.col("n")), "contested-facts")
+
+    def possible(a: str, b: str) -> Column:
+        most = F.least(f"{a}shared", f"{b}shared")
         return (100 + percent) * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
-    return condition
+    side = lambda s: listed.filter(F.col("times") > 1).join(ids, "id").select("shingle", F.col("id").alias(s), F.col("component").alias(f"of_{s}"))
+    met = side("a").join(side("b"), "shingle").filter((F.col("a") > F.col("b")) & (F.col("of_a") != F.col("of_b")))
+    return linking.cross_pairs(rows, facts, possible).union(met.select("a", "b")).distinct()
 
 
 def near_duplicates(
@@ -178,16 +194,14 @@ def near_duplicates(
         close = stash(plausible(pairs, nodes, percent, count), "minhash-pairs")
         return stash(confirm(close, sets, percent), "minhash-links")
 
-    facts = stash(with_shared(sets), "minhash-facts")
-    stars = links(linking.star_pairs(alive, facts.select("id", "apart")))
+    stars = links(linking.star_pairs(alive, stash(loneliness(sets), "minhash-apart")))
     open_bands = linking.undecided(linking.in_groups(alive, linking.components(stars)))
     side = lambda first: F.collect_set(F.when(F.col("first") == first, F.col("key")))
     sides = open_bands.groupBy("id", "component").agg(side(True).alias("one"), side(False).alias("two"))
     paired = sides.select("id", "component", F.explode("one").alias("one"), "two")
     paired = paired.select("id", "component", "one", F.explode("two").alias("two"))
     rows = linking.contested(paired.select(F.xxhash64("one", "two").alias("key"), "id", "component"))
-    linkable = facts.filter(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "shared")
-    more = links(linking.cross_pairs(rows, linkable, possible_link(percent)))
+    more = links(open_pairs(rows, sets, percent))
     groups = linking.components(stars.union(more))
     found = base.select("id", "n", "digest").join(classes, "digest", "left")
     found = found.join(groups.withColumnRenamed("id", "rep"), "rep", "left")

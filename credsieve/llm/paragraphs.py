@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from credsieve.llm import linking
 from credsieve.llm.common import WordHashes, hash_family, ship, stash, window_hashes
 from credsieve.llm.fuzzy_lines import without_lines
-from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, plausible, possible_link, with_shared
+from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, loneliness, open_pairs, plausible
 
 LEAST_WORDS = 25
 ROWS = 2
@@ -162,12 +162,10 @@ def repeated_paragraphs(
         close = stash(plausible(pairs, nodes, percent, MARKS), "paragraph-pairs")
         return stash(confirm(close, sets, percent), "paragraph-links")
 
-    facts = stash(with_shared(sets), "paragraph-facts")
-    stars = links(linking.star_pairs(alive, facts.select("id", "apart")))
+    stars = links(linking.star_pairs(alive, stash(loneliness(sets), "paragraph-apart")))
     grouped = linking.in_groups(alive.select("key", "id"), linking.components(stars))
     rows = linking.contested(linking.undecided(grouped))
-    linkable = facts.filter(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "shared")
-    more = links(linking.cross_pairs(rows, linkable, possible_link(percent)))
+    more = links(open_pairs(rows, sets, percent))
     groups = linking.components(stars.union(more))
     return occurrences(found, first, groups)
 

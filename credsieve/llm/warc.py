@@ -276,9 +276,14 @@ class WarcReader(DataSourceReader):
                         if block:
                             while len(part.data) < head + length and part.more():
                                 pass
+                            if len(part.data) < head + length:
+                                raise EOFError("its block is cut off")
                             columns |= block_columns(bytes(part.data[head : head + length]), columns["content_type"])
                         yield {c: columns.get(c) for c in wanted}
-                    at = part.end(head + length + 4)
+                    following = part.end(head + length + 4)
+                    if following - 4 > size:
+                        raise EOFError("the file ends within it")
+                    at = following
                 except (EOFError, ValueError, TypeError, zlib.error) as e:
                     raise ValueError(f"{path} at byte {at} is not a WARC record: {e}") from e
 
