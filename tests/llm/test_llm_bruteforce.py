@@ -97,7 +97,7 @@ def test_fuzzy_lines(spark, family):
     docs = [(i, "\n".join(family[3 * i : 3 * i + 3]) + "\n12, Oak Street!\n7 oak street") for i in range(len(family) // 3)]
     places = [(i, k, w) for i, t in docs for k, w in fuzzy_lines.normal_lines(t)]
     known = WordHashes()
-    hashes = [int(fuzzy_lines.sim_hashes(known.of(w), np.asarray([0]))[0]) for _, _, w in places]
+    hashes = [int(fuzzy_lines.sim_hashes(w, np.asarray([0]), known)[0]) for _, _, w in places]
 
     def linked(a, b):
         (x, h), (y, g) = a, b
