@@ -97,12 +97,13 @@ def grown(best: DataFrame, buckets: DataFrame, index: DataFrame, need: int, radi
     probes = probes.select("query", "limit", "key", F.explode(masks(width, radius)).alias("mask"))
     probes = probes.select("query", "limit", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
     apart = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
-    near = probes.join(buckets, "key").withColumn("distance", apart).filter(F.col("distance") <= F.col("limit"))
-    near = near.select("query", "distance", "code").distinct().join(index, "code").select("query", "distance", "id")
+    # Probes look as small to the planner as the queries they were exploded from; they must not be broadcast.
+    near = probes.hint("merge").join(buckets.hint("merge"), "key").withColumn("distance", apart).filter(F.col("distance") <= F.col("limit"))
+    near = near.select("query", "distance", "code").distinct().hint("merge").join(index.hint("merge"), "code").select("query", "distance", "id")
     place = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
     kept = verified.union(near).distinct().withColumn("place", place).filter(F.col("place") <= need).drop("place")
     open_queries = open_rows.select("query").distinct()
-    kept = open_queries.join(kept, "query", "left")
+    kept = open_queries.hint("merge").join(kept.hint("merge"), "query", "left")
     per = W.partitionBy("query")
     settled = (F.count("id").over(per) >= need) & (F.max("distance").over(per) <= covered)
     return kept.select("query", "distance", "id", F.coalesce(settled, F.lit(False)).alias("done")).union(done.select("query", "distance", "id", "done"))

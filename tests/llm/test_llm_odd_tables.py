@@ -22,7 +22,7 @@ def odd(spark):
         (9, "+" * 5000 + "a@b.cc"), (10, "é ß 😀 " * 30),
     ]
     sources = ["a", "b", None]
-    rows = [(i, t, "en", sources[k % 3], t and len(t), *EXTRA) for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, "en", sources[k % 3], len(t) if t else None, *EXTRA) for k, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
