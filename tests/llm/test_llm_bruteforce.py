@@ -112,6 +112,27 @@ def test_fuzzy_lines(spark, family):
     assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) in kept) for i, t in docs}
 
 
+def test_fuzzy_lines_misses_no_pair(spark):
+    """Lines of all lengths with up to a fifth of their words changed, put in or left out."""
+    rng, lines = random.Random(9), []
+    for n in [*range(1, 31), 40, 55, 80, 130]:
+        base = sentence(rng, n).split()
+        lines.append(base)
+        for _ in range(6):
+            line = list(base)
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                line[at : at + 1] = rng.choice([[], [line[at], rng.choice(VOCABULARY)], [rng.choice(VOCABULARY) + "x"]])
+            lines.append(line)
+    lines = [next(words for _, words in fuzzy_lines.normal_lines(" ".join(x))) for x in lines if x]
+    rng.shuffle(lines)
+    alike = lambda a, b: fuzzy_lines.alike(b" ".join(a), b" ".join(b), 80)
+    want = groups(lines, alike)
+    assert sum(lines[i] != lines[g] for i, g in enumerate(want)) > 100
+    table = spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = fuzzy_lines.line_groups(table, "doc_id", "text").collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: g == i for i, g in enumerate(want)}
+
+
 def test_nearest_codes(spark):
     rng = np.random.default_rng(4)
     codes = rng.integers(-(1 << 63), (1 << 63) - 1, 300, np.int64)
