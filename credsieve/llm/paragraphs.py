@@ -22,7 +22,7 @@ from credsieve.llm.common import WordHashes, hash_family, ship, stash, window_ha
 from credsieve.llm.fuzzy_lines import without_lines
 from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, loneliness, open_pairs, plausible
 
-LEAST_WORDS = 25
+LEAST_WORDS = WIDTH
 ROWS = 2
 RECALL = 0.9999
 MARKS = 64

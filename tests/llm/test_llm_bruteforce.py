@@ -93,6 +93,19 @@ def test_paragraphs(spark, family):
     assert sum(len((r["text"] or "").split("\n")) for r in left if r["text"]) <= sum(len(t.split("\n")) for _, t in docs) - gone + len(docs)
 
 
+def test_short_paragraphs(spark):
+    """Lines from the width of a shingle up, exact copies and near ones."""
+    rng = random.Random(3)
+    bases = [sentence(rng, n) for n in (4, 5, 6, 10, 16, 24)]
+    texts = [t for b in bases for t in (b, b.upper(), b + " more")] + [sentence(rng, 12)]
+    sets = [shingles(t) if len(t.split()) >= 5 else set() for t in texts]
+    want = groups(sets, similar)
+    expected = {(i, g == i) for i, g in enumerate(want) if want.count(g) > 1}
+    assert len(expected) > 12
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["kept"]) for r in paragraphs.repeated_paragraphs(table, "doc_id", "text").collect()} == expected
+
+
 def test_fuzzy_lines(spark, family):
     docs = [(i, "\n".join(family[3 * i : 3 * i + 3]) + "\n12, Oak Street!\n7 oak street") for i in range(len(family) // 3)]
     places = [(i, k, w) for i, t in docs for k, w in fuzzy_lines.normal_lines(t)]
