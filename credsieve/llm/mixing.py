@@ -7,7 +7,8 @@ source's largest document.
 
 A position in its source is found without gathering a source: rows are counted by (source, size,
 bucket), the counts are summed up along sizes and then along buckets, and only within one bucket are
-rows numbered. There are as many buckets as keep them small when all rows have one size.
+rows numbered. Buckets are ranges of the key, as many as keep them small when all rows have one size,
+so the order is that of (size, key) wherever the ranges are cut.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from credsieve.llm.common import stash
 SEED = "mix"
 MOST_TIMES = 3
 BUCKET_ROWS = 1_000_000
+DRAWN_PER_BUCKET = 50
 
 
 def word_count(text: Column) -> Column:
@@ -53,6 +55,21 @@ def source_targets(sizes: DataFrame, most_times: int = MOST_TIMES) -> DataFrame:
     return share.select("source", "source_size", F.least(limit.cast("double"), level).alias("target"))
 
 
+def key_ranges(rows: DataFrame, key: str, bucket_rows: int) -> Column:
+    """The range of a row's key: 0 and up, in the order of the keys, null first. Cuts come from a sample."""
+    count = rows.count()
+    buckets = -(-count // bucket_rows)
+    if buckets < 2:
+        return F.lit(0)
+    drawn = rows.select(F.col(key).alias("key")).filter(F.col("key").isNotNull())
+    drawn = drawn.sample(min(1.0, DRAWN_PER_BUCKET * buckets / count), 6).orderBy("key").collect()
+    cuts = [drawn[len(drawn) * k // buckets][0] for k in range(1, buckets)] if drawn else []
+    if not cuts:
+        return F.lit(0)
+    kind = rows.schema[key].dataType
+    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in dict.fromkeys(cuts)]), lambda c: c <= F.col(key)))
+
+
 def mix(rows: DataFrame, key: str, source: str, size: str, most_times: int = MOST_TIMES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``copies``, how often the mix takes each row.
 
@@ -61,14 +78,13 @@ def mix(rows: DataFrame, key: str, source: str, size: str, most_times: int = MOS
     ``rows`` named like the three are replaced. An empty table gives an empty table.
     """
     taken = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
-    buckets = max(1, -(-rows.count() // bucket_rows))
     named = rows.select(
         F.struct(*taken).alias("row"),
         F.col(source).cast("string").alias("source"),
         F.col(source).cast("string").isNull().alias("unnamed"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"),
         F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("size"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).alias("bucket"),
+        key_ranges(rows, key, bucket_rows).alias("bucket"),
         F.col(key).alias("key"),
     )
     cell = ["unnamed", "name", "size", "bucket"]

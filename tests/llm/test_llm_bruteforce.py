@@ -286,6 +286,16 @@ def test_ablations(spark):
     assert got == {"few_words": (6, 5, 3 + 7 + 5), "repeated_words": (3, 2, 3 + 7 + 2)}
 
 
+def test_mix_takes_the_same_rows_whatever_the_buckets(spark):
+    rows = [(i * 37 % 501, "abc"[i % 3], i % 2 + 3) for i in range(500)] + [(None, "a", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    taken = [
+        sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["copies"]) for r in mixing.mix(table, "doc_id", "source", "size", bucket_rows=n).collect())
+        for n in (1_000_000, 100, 7)
+    ]
+    assert taken[0] == taken[1] == taken[2] and len({c for _, c in taken[0]}) > 1
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
