@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsieve.llm import fuzzy_lines, hamming, html_text, minhash, mixing, packing, paragraphs, pii, quality, warc
+from credsieve.llm import alignment, fuzzy_lines, hamming, html_text, minhash, mixing, packing, paragraphs, phrases, pii, quality, toxicity, warc
 from credsieve.llm.common import stash, table
 from credsieve.scratch import shared_folder
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +120,25 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_token_byte_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", *paths)
+
+
+def op12_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text")
+
+
+def op13_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), "lang", "text", first=FIRST_PHRASES)
+
+
+FIRST_PHRASES = 2000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_tag_path_text, op2_warc, op3_sum_of_squares_packing, op4_multi_index_hashing, op5_rule_bitmask_ledger, op6_systematic_mixing, op7_boosted_personal_data, op8_tensored_minhash,
-        op9_fuzzy_lines, op10_paragraph_minhash,
+        op9_fuzzy_lines, op10_paragraph_minhash, op11_token_byte_incidence, op12_compression_distance, op13_top_order_phrases,
     )
 }
 
@@ -199,5 +214,40 @@ with sized as (
 select doc_id, size, source_size, target,
     (least(floor(start + rate * place) - floor(start + rate * (place - 1)), ceil(rate)) * size)::BIGINT as taken
 from placed
+""",
+    "op13_top_order_phrases": r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+    select lang, sum(len(w))::BIGINT as n from worded group by lang
+), grams as (
+    select lang, size, w[i:i + size - 1] as ws
+    from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from worded, range(1, 5) as s(size))
+), counts as (
+    select lang, ws, count(*)::BIGINT as a from grams group by lang, ws having count(*) >= 30
+), cuts as (
+    select lang, ws, a, unnest(range(1, len(ws))) as k from counts where len(ws) > 1
+), scored as (
+    select c.lang, c.ws, c.a, c.k, h.a as l, t.a as r, (2000000::HUGEINT * c.a // (h.a::HUGEINT + t.a))::BIGINT as score
+    from cuts c join counts h on h.lang = c.lang and h.ws = c.ws[1:c.k] join counts t on t.lang = c.lang and t.ws = c.ws[c.k + 1:]
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, ws order by score, k) = 1
+), parts as (
+    select lang, a, ws[i:i + size - 1] as ws
+    from (select lang, a, ws, size, unnest(range(1, len(ws) - size + 2)) as i from counts, range(2, 4) as s(size) where len(ws) > size)
+), inside as (
+    select lang, ws, max(a) as longer from parts group by lang, ws
+), ranked as (
+    select l.lang, array_to_string(l.ws, ' ') as phrase, l.a, l.l, l.r, n, score
+    from lowest l left join inside i on i.lang = l.lang and i.ws = l.ws join totals t on t.lang = l.lang
+    where 100::HUGEINT * coalesce(longer, 0) < 80::HUGEINT * l.a
+), numbered as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from ranked
+)
+select * from numbered where rank <= 2000
 """,
 }
