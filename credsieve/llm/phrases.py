@@ -2,7 +2,7 @@
 
 Every word of a piece of text leads one window of up to four words, padded where the piece ends.
 Only these windows are counted; ``ROLLUP`` over their columns sums them to the counts of all shorter
-phrases, which are the windows' beginnings. A phrase found ``least`` times holds only words and
+phrases, which are the windows' beginnings. Words alone are counted before. A phrase found ``least`` times holds only words and
 neighbours found as often, so windows also end at rarer ones. Which words and neighbours may be frequent
 is told to the tasks as bits of a fixed number of slots. Two that share a slot make windows longer than
 need be, never wrong: the counts of what is frequent are exact however full the slots are.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -177,7 +177,7 @@ def pair_counter(seed: int, words: np.ndarray):
 
 
 def windows_of(ids: np.ndarray, linked: np.ndarray) -> list[np.ndarray]:
-    """The columns of the window every word leads; 0 from the first link on that does not hold."""
+    """The columns of the windows of two words or more; 0 from the first link on that does not hold."""
     columns, going = [ids], ids != 0
     for k in range(1, LONGEST):
         held = np.zeros(len(ids), bool)
@@ -186,7 +186,7 @@ def windows_of(ids: np.ndarray, linked: np.ndarray) -> list[np.ndarray]:
         column = np.zeros(len(ids), np.int64)
         column[: len(ids) - k] = ids[k:]
         columns.append(np.where(going, column, 0))
-    return [c[ids != 0] for c in columns]
+    return [c[columns[1] != 0] for c in columns]
 
 
 def window_counter(seed: int, words: np.ndarray, pairs: np.ndarray):
@@ -248,10 +248,6 @@ def word_table(texts: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def _phrase(level: int, columns: list[str]) -> Column:
-    return F.array(*columns[:level])
-
-
 def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """``ws`` (ids of 1 to 4 words) and ``n`` for all phrases found at least ``least`` times."""
     often = F.col("n") >= least
@@ -264,12 +260,11 @@ def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int) ->
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     summed = texts.mapInArrow(work, columns).rollup(*names).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     phrase = F.lit(None)
-    for level in range(1, LONGEST + 1):
+    for level in range(2, LONGEST + 1):
         last = F.col(names[level - 1])
-        phrase = F.when(
-            (F.col("rolled") == (1 << (LONGEST - level)) - 1) & (last != 0), _phrase(level, names)
-        ).otherwise(phrase)
-    return summed.filter(often).select(phrase.alias("ws"), "n").filter(F.col("ws").isNotNull())
+        phrase = F.when((F.col("rolled") == (1 << (LONGEST - level)) - 1) & (last != 0), F.array(*names[:level])).otherwise(phrase)
+    longer = summed.filter(often).select(phrase.alias("ws"), "n").filter(F.col("ws").isNotNull())
+    return longer.unionByName(words.filter(often).select(F.array("id").alias("ws"), "n"))
 
 
 def best_cuts(counts: DataFrame) -> DataFrame:

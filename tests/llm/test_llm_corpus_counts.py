@@ -106,7 +106,7 @@ COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 def test_alignment_is_that_of_whole_texts(spark, paths, block_bytes):
     texts = list(ODD_TEXTS)
     if SF.exists():
-        texts += [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' where doc_id % 20 = 0").fetchall()]
+        texts += [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' where doc_id % 40 = 0").fetchall()]
     docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "id long, text string, key int, block int, n_a int")
     got = {r["id"]: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs, "id", "text", *paths, block_bytes=block_bytes).collect()}
     assert got == dict(enumerate(plainly_aligned(texts, paths)))
