@@ -30,8 +30,8 @@ from credsieve.llm.common import ship
 # The sample the model is fitted on: rows of each kind for the dictionaries, rows for the calibration, and
 # characters of each, from a place chosen by the row's hash. Scoring has no such bounds.
 TOXIC_ROWS = 2000
-ORDINARY_ROWS = 3000
-CALIBRATION_ROWS = 8000
+ORDINARY_ROWS = 2500
+CALIBRATION_ROWS = 6000
 SAMPLE_CHARS = 12_000
 SAMPLE_WORDS = 100_000
 
@@ -203,18 +203,24 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[str], list[str], list[tuple[str, int]]]:
     """The bounded sample of labelled rows: two in three for the dictionaries, the others for the calibration.
 
-    Rows are taken by the order of a hash of key and text, and long texts give ``SAMPLE_CHARS`` characters from a
-    place the hash chooses.
+    Keys are chosen first, by the order of their hash, so texts of the chosen ones alone are read and moved; of a
+    repeated key the smallest text is taken. Long texts give ``SAMPLE_CHARS`` characters from a place the hash chooses.
     """
-    marks = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("label"))
-    rows = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(marks, key)
-    rows = rows.select("label", "text", F.xxhash64(key, "text").alias("h"), F.length("text").alias("n"))
-    start = F.when(F.col("n") > SAMPLE_CHARS, F.pmod(F.xxhash64("h"), F.col("n") - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
-    part = F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")
+    marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("key")))
+    marks = marks.groupBy("key").agg(F.max("label").alias("label")).join(docs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    marks = marks.withColumn("h", F.xxhash64(F.col("key").cast("string")))
     fits = F.pmod("h", F.lit(3)) < 2
-    toxic = rows.filter(fits & (F.col("label") == 1)).orderBy("h").limit(TOXIC_ROWS).select(part).collect()
-    ordinary = rows.filter(fits & (F.col("label") == 0)).orderBy("h").limit(ORDINARY_ROWS).select(part).collect()
-    others = rows.filter(~fits).orderBy("h").limit(CALIBRATION_ROWS).select(part, "label").collect()
+    kinds = [(fits & (F.col("label") == 1), TOXIC_ROWS), (fits & (F.col("label") == 0), ORDINARY_ROWS), (~fits, CALIBRATION_ROWS)]
+    chosen = [r for test, n in kinds for r in marks.filter(test).orderBy("h", "key").limit(n).collect()]
+    # At most the rows above; the join's small side has that bound.
+    few = docs.sparkSession.createDataFrame(chosen, marks.schema)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(few), "key").withColumn("n", F.length("text"))
+    start = F.when(F.col("n") > SAMPLE_CHARS, F.pmod(F.xxhash64("h"), F.col("n") - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
+    part = F.substring("text", start, F.lit(SAMPLE_CHARS))
+    found = rows.groupBy("key", "label", "h").agg(F.min(part).alias("text")).orderBy("h", "key").collect()
+    of = lambda test: [r for r in found if test(r.h % 3 < 2, r.label)]
+    toxic, ordinary, others = of(lambda f, m: f and m == 1), of(lambda f, m: f and m == 0), of(lambda f, m: not f)
     return [r.text for r in toxic], [r.text for r in ordinary], [(r.text, int(r.label)) for r in others]
 
 
