@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from credsieve.llm.common import ship, stash
 from credsieve.llm.incidence import from_lengths, one_each, partial_sizes, product, ranges, transposed
 
 BLOCK_BYTES = 8 << 20
-REMEMBERED = 1 << 17
-REMEMBERED_LINKS = 1 << 23
+REMEMBERED = 1 << 19
+REMEMBERED_LINKS = 1 << 22
 CHUNK = re.compile(r"(?<=\S)(?= )")
 UNEVEN = re.compile(r"\s |\s$")
 # A pair of ids in one long; the second tokenizer's ids need less than 32 bits.
@@ -65,7 +66,7 @@ class ByteLevel:
             self.bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
 
     def encode(self, chunks: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
 class Pieces:
@@ -95,21 +96,26 @@ def chunks_of(text: str) -> list[str]:
     return [" " + word for word in text.split(" ")]
 
 
-def _joined(ids: Sequence[Sequence[str]], known: list[bytes]) -> list[bytes]:
-    return [b"".join([known[i] for i in row]) for row in ids]
+def _same(ids: Sequence[Sequence[int]], known: list[bytes], whole: list[bytes]) -> np.ndarray:
+    """Which chunks their tokens' bytes give back."""
+    joined = [b"".join([known[i] for i in row]) for row in ids]
+    return np.array([j == w for j, w in zip(joined, whole, strict=True)], bool)
 
 
 class Blocks:
     """Links, groups and counts of chunks, remembered up to a bound."""
 
-    def __init__(self, first: ByteLevel, second: Pieces):
-        self.first, self.second = first, second
+    def __init__(self, first: ByteLevel, second: Pieces, with_groups: bool = True):
+        self.first, self.second, self.with_groups = first, second, with_groups
         self.sizes = [np.array([len(b) for b in v.bytes], np.int64) for v in (first, second)]
+        # What a token writes within its group, and as the last of it.
+        self.words = [([f"{i}," for i in range(len(s))], [f"{i}{end}" for i in range(len(s))]) for s, end in zip(self.sizes, "|;", strict=True)]
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
+        self.known = np.empty(0, bool)
         self.counts = np.empty((0, len(COUNTS)), np.int64)
         self.starts = np.zeros(1, np.int64)
         self.links = np.empty(0, np.int64)
@@ -123,53 +129,54 @@ class Blocks:
             return
         ids_a, ids_b = self.first.encode(new), self.second.encode(new)
         whole = [c.encode() for c in new]
-        same = [a == w == b for a, w, b in zip(_joined(ids_a, self.first.bytes), whole, _joined(ids_b, self.second.bytes), strict=True)]
-        ids_a = [i if s else [] for i, s in zip(ids_a, same, strict=True)]
-        ids_b = [i if s else [] for i, s in zip(ids_b, same, strict=True)]
+        same = _same(ids_a, self.first.bytes, whole) & _same(ids_b, self.second.bytes, whole)
+        if not same.all():
+            ids_a, ids_b = ([i if s else [] for i, s in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
 
-        n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for row in ids for i in row], np.int64) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         a, b = from_lengths(self.sizes[0][flat_a]), from_lengths(self.sizes[1][flat_b])
         row, column, _ = product(a, transposed(b))
-        chunk_of = np.repeat(np.arange(len(new)), n_a)
-        n_links = np.bincount(chunk_of[row], minlength=len(new)) if len(row) else np.zeros(len(new), np.int64)
+        before_a = np.concatenate([[0], np.cumsum(n_a)])
+        n_links = np.diff(np.searchsorted(row, before_a))
 
         # Both end at every end of a chunk, so groups never reach over chunks.
-        shared = np.intersect1d(a.starts[1:], b.starts[1:])
+        shared = np.intersect1d(a.starts[1:], b.starts[1:], assume_unique=True)
         group_a, group_b = (np.searchsorted(shared, m.starts[:-1], "right") for m in (a, b))
         in_a, in_b = one_each(group_a, len(shared)), one_each(group_b, len(shared))
-        n_group_links = np.add.reduceat(
-            np.append(partial_sizes(in_a, transposed(in_b)), 0), np.minimum(np.cumsum(n_a) - n_a, len(flat_a))
-        ) * (n_a > 0)
-        n_groups = np.array([len(np.unique(g)) if len(g) else 0 for g in np.split(group_a, np.cumsum(n_a)[:-1])], np.int64)
-
-        at = len(self.groups)
-        self.place |= {c: at + k for k, c in enumerate(new)}
-        self.groups += [
-            _group_text(i, j, g, h) if s else None
-            for i, j, g, h, s in zip(ids_a, ids_b, np.split(group_a, np.cumsum(n_a)[:-1]), np.split(group_b, np.cumsum(n_b)[:-1]), same, strict=True)
-        ]
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, n_group_links], axis=1)])
+        group_links = np.concatenate([[0], np.cumsum(partial_sizes(in_a, transposed(in_b)))])
+        n_groups = np.diff(np.searchsorted(shared, a.starts[before_a], "right"))
+
+        at = len(self.known)
+        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+        self.known = np.concatenate([self.known, same])
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, np.diff(group_links[before_a])], axis=1)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_links)])
         self.links = np.concatenate([self.links, (flat_a[row] << SHIFT) | flat_b[column]])
+        if self.with_groups:
+            self.groups += self._group_texts(flat_a, flat_b, group_a, group_b, before_a, np.concatenate([[0], np.cumsum(n_b)]))
+
+    def _group_texts(self, flat_a, flat_b, group_a, group_b, before_a, before_b) -> list[str]:
+        """Each chunk's groups, all written in one go: a group's first ids, then its second ones."""
+        parts = np.empty(len(flat_a) + len(flat_b), object)
+        # A token stands behind the other side's tokens of earlier groups; a second one also behind those of its own.
+        places = np.arange(len(flat_a)) + np.searchsorted(group_b, group_a), np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")
+        for place, flat, group, (within, last) in zip(places, (flat_a, flat_b), (group_a, group_b), self.words, strict=True):
+            ends = np.append(group[1:] != group[:-1], True)[: len(group)]
+            parts[place] = [last[i] if e else within[i] for i, e in zip(flat.tolist(), ends.tolist(), strict=True)]
+        written, cuts = parts.tolist(), (before_a + before_b).tolist()
+        return ["".join(written[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def text(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
-        """Counts, links (pairs of ids) and the groups of a text of known chunks."""
+        """Counts, links (pairs of ids) and the digest of the groups of a text of known chunks."""
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        groups = [self.groups[k] for k in at]
-        if not chunks or None in groups:
+        if not chunks or not self.known[at].all():
             return np.zeros(len(COUNTS), np.int64), np.empty(0, np.int64), ""
         links = self.links[ranges(self.starts[at], self.starts[at + 1] - self.starts[at])]
-        return self.counts[at].sum(axis=0), links, hashlib.sha256(";".join(groups).encode()).hexdigest()
-
-
-def _group_text(ids_a: Sequence[int], ids_b: Sequence[int], groups_a: np.ndarray, groups_b: np.ndarray) -> str:
-    parts: dict[int, tuple[list[str], list[str]]] = {}
-    for i, g in zip(ids_a, groups_a.tolist(), strict=True):
-        parts.setdefault(g, ([], []))[0].append(str(i))
-    for i, g in zip(ids_b, groups_b.tolist(), strict=True):
-        parts.setdefault(g, ([], []))[1].append(str(i))
-    return ";".join(f"{','.join(p)}|{','.join(q)}" for p, q in parts.values())
+        digest = ""
+        if self.with_groups:
+            digest = hashlib.sha256("".join(map(self.groups.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
+        return self.counts[at].sum(axis=0), links, digest
 
 
 SLICE_CHARS = 1 << 20
@@ -199,13 +206,13 @@ PAIRS = "block int, pair long, n long"
 RESULT = "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_group_links long"
 
 
-def loader(path_a: str, path_b: str):
+def loader(path_a: str, path_b: str, with_groups: bool):
     """Remembered blocks, made once in a task."""
     made: list[Blocks] = []
 
     def load() -> Blocks:
         if not made:
-            made.append(Blocks(ByteLevel(path_a), Pieces(path_b)))
+            made.append(Blocks(ByteLevel(path_a), Pieces(path_b), with_groups))
         return made[0]
 
     return load
@@ -213,7 +220,7 @@ def loader(path_a: str, path_b: str):
 
 def pair_worker(path_a: str, path_b: str):
     """For one block of documents: each distinct pair of ids, and how many of the block's documents hold it linked."""
-    load = loader(path_a, path_b)
+    load = loader(path_a, path_b, False)
 
     def work(key: tuple, rows: pa.Table) -> pa.Table:
         blocks = load()
@@ -240,7 +247,7 @@ def pair_worker(path_a: str, path_b: str):
 
 def count_worker(path_a: str, path_b: str):
     """For one block of documents and the answers to its pairs: one row per document."""
-    load = loader(path_a, path_b)
+    load = loader(path_a, path_b, True)
 
     def work(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         blocks = load()
