@@ -2,8 +2,8 @@
 
 Every word of a piece of text leads one window of up to four words, padded where the piece ends.
 Only these windows are counted; ``ROLLUP`` over their columns sums them to the counts of all shorter
-phrases, which are the windows' beginnings. Words alone are counted before. A phrase found ``least`` times holds only words and
-neighbours found as often, so windows also end at rarer ones. Which words and neighbours may be frequent
+phrases, which are the windows' beginnings. Words alone are counted before. A phrase found ``least`` times holds only words, neighbours and
+runs of three found as often, so windows also end at rarer ones. Which of them may be frequent
 is told to the tasks as bits of a fixed number of slots. Two that share a slot make windows longer than
 need be, never wrong: the counts of what is frequent are exact however full the slots are.
 """
@@ -29,9 +29,11 @@ INSIDE = 80
 SCALE = 2_000_000
 NO_LANG = "und"
 
-# Slots of the two filters, as powers of two: 2 MB and 8 MB. They bound what is sent with a task.
+# Slots of the filters, as powers of two: 2 MB for words, 8 MB each for runs of two and of three. They bound what is sent with a task.
 WORD_SLOTS = 24
-PAIR_SLOTS = 26
+RUN_SLOTS = 26
+# Bits of a run's id that are kept: shared ids do no harm, and zeros take no room in a shuffle.
+RUN_BITS = 44
 # Rows gathered in a task before they are summed up and handed on.
 HELD_WORDS = 1 << 18
 HELD_WINDOWS = 1 << 20
@@ -81,9 +83,10 @@ def in_slots(ids: np.ndarray, filled: np.ndarray, bits: int) -> np.ndarray:
     return (filled[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
 
 
-def pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(mixed(first.view(np.uint64)) * np.uint64(3) + second.view(np.uint64)).view(np.int64)
+def run_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ids of runs from those of their beginnings and of the words that follow."""
+    found = mixed(mixed(first.view(np.uint64)) * np.uint64(3) + second.view(np.uint64))
+    return (found & np.uint64((1 << 64) - (1 << (64 - RUN_BITS)))).view(np.int64)
 
 
 class FrequentWords(dict):
@@ -163,33 +166,54 @@ def _texts(batches: Iterator[pa.RecordBatch], seed: int, filled: np.ndarray) ->
         yield np.concatenate(held)
 
 
-def pair_counter(seed: int, words: np.ndarray):
-    """A task that counts neighbours of which both are frequent."""
+def links_of(ids: np.ndarray, filters: list[np.ndarray]) -> list[np.ndarray]:
+    """For each number of words from two on: whether the run each place begins may be frequent.
+
+    Runs of two and three are looked up as far as there are filters; a longer one, or one without a filter,
+    may be if the two runs within it that are one word shorter may be.
+    """
+    held, links = ids != 0, []
+    runs = ids
+    for k in range(1, LONGEST):
+        held = held[:-1] & held[1:]
+        if k <= 2:
+            runs = run_ids(runs[:-1], ids[k:])
+        if k <= len(filters):
+            held = held & in_slots(runs, filters[k - 1], RUN_SLOTS)
+        links.append(held)
+    return links
+
+
+def run_counter(seed: int, words: np.ndarray, filters: list[np.ndarray]):
+    """A task that counts runs one word longer than the last filter's, of which all shorter ones may be frequent."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+    size = len(filters) + 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in _texts(batches, seed, words):
-            both = (ids[:-1] != 0) & (ids[1:] != 0)
-            pairs, n = np.unique(pair_ids(ids[:-1][both], ids[1:][both]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], schema=schema)
+            if len(ids) < LONGEST:
+                ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
+            at = np.flatnonzero(links_of(ids, filters)[size - 2])
+            runs = ids[at]
+            for k in range(1, size):
+                runs = run_ids(runs, ids[at + k])
+            runs, n = np.unique(runs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(n.astype(np.int64))], schema=schema)
 
     return work, "id long, n long"
 
 
-def windows_of(ids: np.ndarray, linked: np.ndarray) -> list[np.ndarray]:
-    """The columns of the windows of two words or more; 0 from the first link on that does not hold."""
-    columns, going = [ids], ids != 0
-    for k in range(1, LONGEST):
-        held = np.zeros(len(ids), bool)
-        held[: len(ids) - k] = linked[k - 1 :]
-        going = going & held
+def windows_of(ids: np.ndarray, links: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns of the windows of two words or more; 0 from the first word on that does not belong."""
+    columns = [ids]
+    for k, held in enumerate(links, start=1):
         column = np.zeros(len(ids), np.int64)
-        column[: len(ids) - k] = ids[k:]
-        columns.append(np.where(going, column, 0))
+        column[: len(ids) - k] = np.where(held, ids[k:], 0)
+        columns.append(column)
     return [c[columns[1] != 0] for c in columns]
 
 
-def window_counter(seed: int, words: np.ndarray, pairs: np.ndarray):
+def window_counter(seed: int, words: np.ndarray, filters: list[np.ndarray]):
     """A task that counts longest windows."""
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     schema = pa.schema([(n, pa.int64()) for n in [*names, "n"]])
@@ -198,8 +222,7 @@ def window_counter(seed: int, words: np.ndarray, pairs: np.ndarray):
         for ids in _texts(batches, seed, words):
             if len(ids) < LONGEST:
                 ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-            linked = (ids[:-1] != 0) & (ids[1:] != 0) & in_slots(pair_ids(ids[:-1], ids[1:]), pairs, PAIR_SLOTS)
-            columns = windows_of(ids, linked)
+            columns = windows_of(ids, links_of(ids, filters))
             order = np.lexsort(columns[::-1])
             columns = [c[order] for c in columns]
             new = np.ones(len(order), bool)
@@ -252,11 +275,13 @@ def phrase_counts(texts: DataFrame, words: DataFrame, seed: int, least: int) ->
     """``ws`` (ids of 1 to 4 words) and ``n`` for all phrases found at least ``least`` times."""
     often = F.col("n") >= least
     frequent = filled_slots(words.filter(often).select("id"), WORD_SLOTS)
-    work, columns = pair_counter(seed, frequent)
-    pairs = texts.mapInArrow(work, columns).groupBy("id").agg(F.sum("n").alias("n"))
-    linked = filled_slots(pairs.filter(often).select("id"), PAIR_SLOTS)
+    filters: list[np.ndarray] = []
+    for _ in range(LONGEST - 2):
+        work, columns = run_counter(seed, frequent, list(filters))
+        runs = texts.mapInArrow(work, columns).groupBy("id").agg(F.sum("n").alias("n"))
+        filters.append(filled_slots(runs.filter(often).select("id"), RUN_SLOTS))
 
-    work, columns = window_counter(seed, frequent, linked)
+    work, columns = window_counter(seed, frequent, filters)
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     summed = texts.mapInArrow(work, columns).rollup(*names).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     phrase = F.lit(None)

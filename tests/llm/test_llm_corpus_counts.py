@@ -237,7 +237,7 @@ def test_phrases_are_those_of_plain_counting(spark, least):
 def test_full_slots_change_nothing(spark, monkeypatch):
     whole = mined(spark, phrase_rows(), least=5)
     monkeypatch.setattr(phrases, "WORD_SLOTS", 6)
-    monkeypatch.setattr(phrases, "PAIR_SLOTS", 6)
+    monkeypatch.setattr(phrases, "RUN_SLOTS", 6)
     assert mined(spark, phrase_rows(), least=5) == whole == set(plainly_mined(phrase_rows(), 5))
 
 
@@ -274,6 +274,6 @@ def test_tasks_carry_their_code():
     model = toxicity.Model(b"", b"", np.zeros(1), np.ones(1), np.zeros(2))
     for task in (
         alignment.pair_worker("a", "b"), alignment.count_worker("a", "b"), phrases.word_counter(0)[0],
-        phrases.pair_counter(0, slots)[0], phrases.window_counter(0, slots, slots)[0], phrases.slot_counter(8), toxicity.scorer,
+        phrases.run_counter(0, slots, [])[0], phrases.window_counter(0, slots, [slots])[0], phrases.slot_counter(8), toxicity.scorer,
     ):
         assert not by_name(cloudpickle.dumps(task))
