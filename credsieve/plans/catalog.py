@@ -28,7 +28,7 @@ from credsieve.sources.baseline import read_baseline
 from credsieve.sources.files import decoded, lines_from_files, listed_only, read_files, select_text_files
 from credsieve.sources.rules import merge_rules, rules_from_table, rules_table
 from credsieve.sources.texts import lines_from_text
-from credsieve.streaming.incremental import report_once, run_once, stream_findings
+from credsieve.streaming.incremental import report_once, run_once, stream_files, stream_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,12 +120,19 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     so stay below the size limit on any cluster. Compressed copies lie next to the text files; their
     extension keeps them out. All lies below a folder whose name begins with a dot.
     """
+    root = write_tree(spark, sf_dir)
+    return by_folder(scan(lines_from_files(read_files(spark, root)), mode="working_tree", target=root).findings)
+
+
+def write_tree(spark: SparkSession, sf_dir: str) -> str:
     root = shared_folder(spark, "tree")
     lines = C.order_lines(spark, sf_dir).select(F.substring_index("file_path", "/", 1).alias("svc"), "content")
     for folder, codec in ((".conf/text", "none"), ("_packed", "gzip")):
         write_parts(lines, f"{root}/{folder}", codec)
-    files = read_files(spark, root)
-    found = scan(lines_from_files(files), mode="working_tree", target=root).findings
+    return root
+
+
+def by_folder(found: DataFrame) -> DataFrame:
     folder = F.regexp_extract("file_path", r"^(.*)/[^/]*\z", 1)
     return found.groupBy(folder.alias("folder"), "rule_id").agg(F.count("*").alias("findings"))
 
@@ -504,6 +511,13 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(stream_findings(lines, user_config()))
 
 
+def tree_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of ``tree_scan`` as a stream of files."""
+    root = write_tree(spark, sf_dir)
+    found = run_once(stream_findings(lines_from_files(stream_files(spark, root, settle=0)), mode="working_tree"))
+    return by_folder(found)
+
+
 def stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = fingerprints(
         scan(C.event_lines(C.table(spark, sf_dir, "events"))).findings.filter(F.col("file_path").contains("view"))
@@ -572,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "staged_scan": staged_scan,
     "commit_range_scan": commit_range_scan,
     "stream_scan": stream_scan,
+    "tree_stream": tree_stream,
     "stream_baseline": stream_baseline,
     "stream_dedup": stream_dedup,
 }

@@ -373,6 +373,7 @@ ORACLE_SQL: dict[str, str] = {
 }
 _KEPT = "regexp_replace(raw_value, '[^A-Za-z0-9+/=]', '', 'g')"
 _HEX = "regexp_replace(raw_value, '[^0-9a-fA-F]', '', 'g')"
+ORACLE_SQL["tree_stream"] = ORACLE_SQL["tree_scan"]
 ORACLE_SQL["baseline_table_roundtrip"] = ORACLE_SQL["baseline_roundtrip"]
 ORACLE_SQL["entropy_scores"] = f"""with {numbered(CORPUS)},
   scored as (select lid, column_end - cast(length(raw_value) as integer) as column_start, {entropy(_KEPT)} as b, {entropy(_HEX)} as h

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,49 +10,8 @@ from pyspark.sql import functions as F
 
 from credsieve.functions.paths import suffix
 from credsieve.rules import MAX_FILE_BYTES, SKIPPED_SUFFIXES
-from credsieve.scratch import shared_folder
 from credsieve.sources.texts import lines_from_text
-
-LISTED = "path string, is_file boolean, length long"
-
-
-def _file_system(uri: str):
-    """The file system of a URI or an absolute path, and the path within it."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri("file://" + uri if uri.startswith("/") else uri)
-
-
-def _lister(root: str):
-    """A task that lists the entries of the folders it is given, hidden ones too."""
-
-    def work(batches: Iterator) -> Iterator:
-        import os
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        local = root.startswith("/") or root.startswith("file:")
-        system = fs.LocalFileSystem() if local else fs.FileSystem.from_uri(root)[0]
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-                # A linked folder may lead back up, so links to folders are not followed.
-                kept = [
-                    i for i in found
-                    if i.type == fs.FileType.File
-                    or (i.type == fs.FileType.Directory and not (local and os.path.islink(i.path)))
-                ]
-                columns = [
-                    pa.array([i.path for i in kept], pa.string()),
-                    pa.array([i.type == fs.FileType.File for i in kept], pa.bool_()),
-                    pa.array([i.size if i.type == fs.FileType.File else None for i in kept], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "is_file", "length"])
-
-    return work
+from credsieve.sources.tree import use_trees
 
 
 def _reader(root: str):
@@ -76,35 +36,33 @@ def _reader(root: str):
     return work
 
 
+def _tree(spark: SparkSession, root: str, subtree: str, **options) -> DataFrame:
+    use_trees(spark)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("file_tree").option("subtree", subtree).option("pushdown", pushdown)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.load(root)
+
+
 def list_files(spark: SparkSession, root: str, subtree: str = "") -> DataFrame:
     """All files below ``root`` (or one subtree): ``file_path`` relative to the root, ``path``, ``length``.
 
-    Names that begin with a dot or an underscore count like all others; for this reason Spark's own
-    file listing, which leaves them out, is not used. Folders are listed level by level, each level
-    spread over the tasks and written down, so a lost executor repeats one level at most.
+    Nothing is listed before the query runs.
+    """
+    return _tree(spark, root, subtree, content="false")
+
+
+def read_content(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Listed files with their bytes in ``content``; called after everything that drops files.
+
+    Listed rows are tiny and would be put together in few tasks, so they are dealt over ``tasks``, which adaptive
+    execution leaves alone. Files are read one at a time, so more of them make a task longer and not larger.
     """
-    base = _file_system(root)[1].rstrip("/")
-    first = f"{base}/{subtree.strip('/')}" if subtree else base
-    folders, levels = spark.createDataFrame([(first,)], "path string"), []
-    while True:
-        target = shared_folder(spark, "listing")
-        folders.mapInArrow(_lister(root), LISTED).write.parquet(target)
-        level = spark.read.schema(LISTED).parquet(target)
-        levels.append(level.filter("is_file"))
-        deeper = level.filter(~F.col("is_file")).select("path")
-        if deeper.isEmpty():
-            break
-        folders = deeper.repartition("path")
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.union(level)
-    relative = F.substring("path", F.lit(len(base) + 2), F.length("path"))
-    return found.select(relative.alias("file_path"), "path", "length")
-
-
-def read_content(files: DataFrame, root: str) -> DataFrame:
-    """Listed files with their bytes in ``content``; called after everything that drops files."""
-    rows = files.select("file_path", "path", "length")
+    if tasks is None:
+        spark = files.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = files.select("file_path", "path", "length").repartition(tasks)
     return rows.mapInArrow(_reader(root), "file_path string, path string, length long, content binary")
 
 
@@ -113,10 +71,12 @@ def read_files(
 ) -> DataFrame:
     """The text files below ``root``, or those a manifest names, with their content.
 
-    Size, extension and manifest are looked up in the listing; only what is left is opened.
+    Size and extension are told from the listing and planned by bytes; only what is left is opened. With a
+    manifest the listing is joined first, and what it names is opened after.
     """
-    chosen = listed_only(select_text_files(list_files(spark, root, subtree), max_bytes=max_bytes), manifest)
-    return read_content(chosen, root)
+    if manifest is None:
+        return _tree(spark, root, subtree, max_bytes=max_bytes, skip_suffixes=json.dumps(list(SKIPPED_SUFFIXES)))
+    return read_content(listed_only(select_text_files(list_files(spark, root, subtree), max_bytes=max_bytes), manifest), root)
 
 
 def select_text_files(

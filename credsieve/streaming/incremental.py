@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from credsieve.config import ScanSettings
 from credsieve.plans.scan import scan
 from credsieve.scratch import shared_folder
+from credsieve.sources.tree import use_trees
 
 
 def stream_findings(
@@ -24,6 +25,18 @@ def stream_findings(
     return scan(lines, settings, mode=mode, **options).findings
 
 
+def stream_files(spark: SparkSession, root: str, subtree: str = "", *, settle: float = 2, **options) -> DataFrame:
+    """Files below ``root`` as a stream: what was changed since the last batch, hidden names too.
+
+    The newest ``settle`` seconds are left to the next batch. Further options are those of ``file_tree``.
+    """
+    use_trees(spark)
+    reader = spark.readStream.format("file_tree").option("subtree", subtree).option("settle", settle)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.load(root)
+
+
 def report_once(findings: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Each fingerprint once within ``delay`` of event time; older state is dropped."""
     timed = findings.withColumn(event_time, F.col(event_time).cast("timestamp"))

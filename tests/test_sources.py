@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import In, LessThan, StringStartsWith
 
 from credsieve import scan
 from credsieve.operators.diffs import (
@@ -9,6 +10,7 @@ from credsieve.operators.diffs import (
 from credsieve.rules import MAX_FILE_BYTES
 from credsieve.sources.files import lines_from_files, read_files
 from credsieve.sources.texts import lines_from_text
+from credsieve.sources.tree import OPEN_BYTES, Tree, TreeSource, use_trees, wanted
 
 KEY = "AKIA" + "ABCDEFGHIJ123456"
 
@@ -148,3 +150,80 @@ def test_ranges_and_authors(spark, tmp_path):
     with pytest.raises(UnknownRange):
         split_range("HEAD")
     assert split_range("a..b..c") == ("a", "b..c")
+
+
+def many_files(root, folders=60, files=20):
+    for i in range(folders):
+        (root / f"d{i % 7}" / f"_f{i}").mkdir(parents=True)
+        for j in range(files):
+            (root / f"d{i % 7}" / f"_f{i}" / f".n{j}.txt").write_text(f"{i} {j}\n" * (j + 1))
+
+
+def test_a_tree_is_read_by_many_tasks(spark, tmp_path):
+    many_files(tmp_path)
+    with_limit = read_files(spark, str(tmp_path))
+    tasks = with_limit.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).collect()
+    assert sum(t.n for t in tasks) == 1200 and len(tasks) >= 8 and max(t.n for t in tasks) <= 300
+    manifest = spark.range(60).selectExpr("concat('d', id % 7, '/_f', id, '/.n3.txt') as file_path")
+    opened = read_files(spark, str(tmp_path), manifest=manifest)
+    assert opened.count() == 60 and opened.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+@pytest.mark.parametrize("listed", [1, 100, 700])
+def test_folders_the_planner_leaves_are_walked(spark, tmp_path, listed):
+    many_files(tmp_path)
+    use_trees(spark)
+    read = spark.read.format("file_tree").option("listed", listed).option("max_bytes", 90).load(str(tmp_path))
+    want = spark.read.format("file_tree").load(str(tmp_path)).filter("length <= 90")
+    assert read.count() == want.count() > 500
+    assert sorted(read.collect()) == sorted(want.collect())
+
+
+def test_predicates_reach_the_planner(tmp_path):
+    many_files(tmp_path, 3, 5)
+    reader = TreeSource({"path": str(tmp_path), "pushdown": "true"}).reader(None)
+    left = list(reader.pushFilters([
+        LessThan(("length",), 9), StringStartsWith(("file_path",), "d1/"), In(("file_path",), ("d1/_f1/.n0.txt", "d1/_f1/.n1.txt", "d2/_f2/.n0.txt")),
+        LessThan(("file_path",), "x"),
+    ]))
+    assert [type(f).__name__ for f in left] == ["LessThan"] and left[0].attribute == ("file_path",)
+    (part,) = reader.partitions()
+    assert [(f.path.split("/")[-1], f.length) for f in part.files] == [(".n0.txt", 4), (".n1.txt", 8)]
+    assert TreeSource({"path": str(tmp_path / "none")}).reader(None).partitions()[0].files == []
+
+
+def test_partitions_are_bounded_by_bytes(tmp_path):
+    many_files(tmp_path)
+    parts = Tree(str(tmp_path)).plan(wanted({}), 3_000_000, 10**6)
+    assert all(sum(f.length + OPEN_BYTES for f in p.files) <= 3_000_000 for p in parts)
+    assert sorted(f.path for p in parts for f in p.files) == sorted(str(p) for p in tmp_path.rglob("*.txt"))
+
+
+def test_a_stream_reads_only_new_files(spark, tmp_path):
+    use_trees(spark)
+    root, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+
+    def put(name):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+
+    def run():
+        rows = spark.readStream.format("file_tree").option("settle", 0).load(str(root)).selectExpr("file_path", "cast(content as string) as text")
+        query = rows.writeStream.format("parquet").option("checkpointLocation", str(state)).trigger(availableNow=True).start(str(out))
+        assert query.awaitTermination(60)
+        return sorted(r.file_path for r in spark.read.parquet(str(out)).collect())
+
+    put(".env")
+    put("a/_b.txt")
+    assert run() == [".env", "a/_b.txt"]
+    assert run() == [".env", "a/_b.txt"]
+    put("a/.c/d.txt")
+    assert run() == [".env", "a/.c/d.txt", "a/_b.txt"]
+    # A run that was lost before it was committed is repeated over the same span.
+    last = max((state / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    number = int(last.name)
+    last.unlink()
+    (state / "commits" / f".{number}.crc").unlink(missing_ok=True)
+    put("late.txt")
+    assert run() == [".env", "a/.c/d.txt", "a/_b.txt"]
+    assert run() == [".env", "a/.c/d.txt", "a/_b.txt", "late.txt"]
