@@ -9,9 +9,10 @@ cut every text before such a space. The matrices of a text are therefore block-d
 equal chunks are equal blocks: a task multiplies every distinct chunk once and remembers the block.
 
 How many documents hold a pair of ids is a number over the whole corpus, which each link needs.
-Documents are dealt into blocks of some megabytes; each block asks once for each distinct pair it holds,
-and the answers come back to the block's documents. So what moves is the texts and the distinct pairs of blocks,
-not the links, and nothing is broadcast.
+A task cuts its documents into blocks of some megabytes and writes down what each block and each of its documents
+holds; texts are tokenized once and never moved. Each block asks once for each distinct pair it holds, and the
+answers come back to the block's documents, whose links are kept as differences of places among the block's pairs.
+Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +107,8 @@ def _same(ids: Sequence[Sequence[int]], known: list[bytes], whole: list[bytes])
 class Blocks:
     """Links, groups and counts of chunks, remembered up to a bound."""
 
-    def __init__(self, first: ByteLevel, second: Pieces, with_groups: bool = True):
-        self.first, self.second, self.with_groups = first, second, with_groups
+    def __init__(self, first: ByteLevel, second: Pieces):
+        self.first, self.second = first, second
         self.sizes = [np.array([len(b) for b in v.bytes], np.int64) for v in (first, second)]
         # What a token writes within its group, and as the last of it.
         self.words = [([f"{i}," for i in range(len(s))], [f"{i}{end}" for i in range(len(s))]) for s, end in zip(self.sizes, "|;", strict=True)]
@@ -153,8 +155,7 @@ class Blocks:
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, np.diff(group_links[before_a])], axis=1)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_links)])
         self.links = np.concatenate([self.links, (flat_a[row] << SHIFT) | flat_b[column]])
-        if self.with_groups:
-            self.groups += self._group_texts(flat_a, flat_b, group_a, group_b, before_a, np.concatenate([[0], np.cumsum(n_b)]))
+        self.groups += self._group_texts(flat_a, flat_b, group_a, group_b, before_a, np.concatenate([[0], np.cumsum(n_b)]))
 
     def _group_texts(self, flat_a, flat_b, group_a, group_b, before_a, before_b) -> list[str]:
         """Each chunk's groups, all written in one go: a group's first ids, then its second ones."""
@@ -173,96 +174,90 @@ class Blocks:
         if not chunks or not self.known[at].all():
             return np.zeros(len(COUNTS), np.int64), np.empty(0, np.int64), ""
         links = self.links[ranges(self.starts[at], self.starts[at + 1] - self.starts[at])]
-        digest = ""
-        if self.with_groups:
-            digest = hashlib.sha256("".join(map(self.groups.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
+        digest = hashlib.sha256("".join(map(self.groups.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
         return self.counts[at].sum(axis=0), links, digest
 
 
 SLICE_CHARS = 1 << 20
 
-
-def _sliced(texts: list[str | None]) -> Iterator[list[list[str]]]:
-    """Chunks of some texts at a time, so that what is learnt at once is bounded by one text's size."""
-    held, size = [], 0
-    for text in texts:
-        held.append(chunks_of(text) if text else [])
-        size += len(text or "")
-        if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _aligned(blocks: Blocks, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
-    for held in _sliced(texts):
-        blocks.learn(held)
-        for chunks in held:
-            yield blocks.text(chunks)
-
-
-PAIRS = "block int, pair long, n long"
+BLOCK = (
+    "block long, key long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, groups_sha256 string, "
+    "places binary, times binary, pairs array<long>, holders array<long>"
+)
 RESULT = "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_group_links long"
 
 
-def loader(path_a: str, path_b: str, with_groups: bool):
-    """Remembered blocks, made once in a task."""
-    made: list[Blocks] = []
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as all their lowest bytes, then all the next ones: small ones leave runs of zeros."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def load() -> Blocks:
-        if not made:
-            made.append(Blocks(ByteLevel(path_a), Pieces(path_b), with_groups))
-        return made[0]
 
-    return load
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def pair_worker(path_a: str, path_b: str):
-    """For one block of documents: each distinct pair of ids, and how many of the block's documents hold it linked."""
-    load = loader(path_a, path_b, False)
+def _schema(columns: str) -> pa.Schema:
+    types = {
+        "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+    }
+    return pa.schema([(name, types[kind]) for name, kind in (c.split(" ") for c in columns.split(", "))])
 
-    def work(key: tuple, rows: pa.Table) -> pa.Table:
-        blocks = load()
-        held, found, n = [], np.empty(0, np.int64), np.empty(0, np.int64)
-        size = 0
 
-        def summed() -> None:
-            nonlocal found, n, size
-            pairs, inverse = np.unique(np.concatenate([found, *held]), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([n, np.ones(size, np.int64)]), minlength=len(pairs)).astype(np.int64)
-            found, size = pairs, 0
-            held.clear()
+def block_worker(path_a: str, path_b: str, block_bytes: int):
+    """A row per document, and a row per block with its distinct pairs and how many of its documents hold each."""
+    schema = _schema(BLOCK)
 
-        for _, links, _ in _aligned(blocks, rows.column("text").to_pylist()):
-            held.append(np.unique(links))
-            size += len(held[-1])
-            if size > 1 << 21:
-                summed()
-        summed()
-        return pa.table({"block": pa.array(np.full(len(found), key[0].as_py()), pa.int32()), "pair": found, "n": n})
+    def rows(block: int, held: list[tuple]) -> pa.RecordBatch:
+        pairs, holders = np.unique(np.concatenate([h[2] for h in held]), return_counts=True)
+        out = []
+        for key, (n_a, n_b, n_groups, n_links, n_group_links), links, times, digest in held:
+            places = np.diff(np.searchsorted(pairs, links), prepend=0)
+            out.append((block, key, n_a, n_b, n_groups, n_links, n_group_links, digest, packed(places), packed(times), None, None))
+        out.append((block, *[None] * 9, pairs, holders))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(ByteLevel(path_a), Pieces(path_b))
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            at = 0
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            while at < len(keys):
+                part, chars = [], 0
+                while at + len(part) < len(keys) and chars < SLICE_CHARS:
+                    part.append(texts[at + len(part)].as_py() or "")
+                    chars += len(part[-1])
+                chunks = [chunks_of(t) if t else [] for t in part]
+                blocks.learn(chunks)
+                for key, of in zip(keys[at : at + len(part)], chunks, strict=True):
+                    counts, links, digest = blocks.text(of)
+                    held.append((key, counts, *np.unique(links, return_counts=True), digest))
+                at += len(part)
+                size += chars + 64 * len(part)
+                if size >= block_bytes:
+                    yield rows(block, held)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield rows(block, held)
 
     return work
 
 
-def count_worker(path_a: str, path_b: str):
-    """For one block of documents and the answers to its pairs: one row per document."""
-    load = loader(path_a, path_b, True)
+def answer_worker():
+    """For one block: its documents' links looked up among the answers to its pairs, which come in the pairs' order."""
+    schema = _schema(RESULT)
 
-    def work(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        blocks = load()
-        pairs = answers.column("pair").to_numpy()
-        order = np.argsort(pairs)
-        pairs = pairs[order]
+    def work(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("pair").to_numpy())
         n = answers.column("n").to_numpy()[order]
-        best = answers.column("best").to_numpy(zero_copy_only=False)[order]
-        out = []
-        for (n_a, n_b, n_groups, n_links, n_group_links), links, digest in _aligned(blocks, rows.column("text").to_pylist()):
-            at = np.searchsorted(pairs, links)
-            out.append((n_a, n_b, n_groups, n_links, best[at].sum() if len(at) else 0, n[at].sum() if len(at) else 0, digest, n_group_links))
-        names = [c.split(" ")[0] for c in RESULT.split(", ")]
-        columns = [pa.array(c, pa.string() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))]
-        return pa.table([rows.column("key").combine_chunks(), *columns], names=names)
+        best = answers.column("best").to_numpy()[order].astype(np.int64)
+        n_best, count_sum = [], []
+        for places, times in zip(docs.column("places").to_pylist(), docs.column("times").to_pylist(), strict=True):
+            at, k = np.cumsum(unpacked(places)), unpacked(times)
+            n_best.append(int((best[at] * k).sum()) if len(at) else 0)
+            count_sum.append(int((n[at] * k).sum()) if len(at) else 0)
+        found = {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())}
+        return pa.table([found[f.name] if f.name in found else docs.column(f.name) for f in schema], schema=schema)
 
     return work
 
@@ -275,15 +270,15 @@ def align(docs: DataFrame, key: str, text: str, path_a: str, path_b: str, *, blo
     stays null. Other columns are not looked at, whatever their names.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
-    n_blocks = int(size // block_bytes) + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)).cast("int"))
-    pairs = stash(rows.groupBy("block").applyInArrow(pair_worker(path_a, path_b), PAIRS), "token-pairs")
-    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
-    tops = counts.groupBy(F.shiftright("pair", SHIFT).alias("a")).agg(F.max("n").alias("top"))
-    marked = counts.withColumn("a", F.shiftright("pair", SHIFT)).join(tops, "a")
-    answers = pairs.select("block", "pair").join(marked.select("pair", "n", (F.col("n") == F.col("top")).alias("best")), "pair")
-    found = rows.groupBy("block").cogroup(answers.select("block", "pair", "n", "best").groupBy("block")).applyInArrow(count_worker(path_a, path_b), RESULT)
+    held = stash(rows.mapInArrow(block_worker(path_a, path_b, block_bytes), BLOCK), "token-blocks")
+    asked = held.filter(F.col("pairs").isNotNull()).select("block", F.explode(F.arrays_zip("pairs", "holders")).alias("p"))
+    asked = asked.select("block", F.col("p.pairs").alias("pair"), F.col("p.holders").alias("n"))
+    counts = asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", SHIFT))
+    tops = counts.groupBy("a").agg(F.max("n").alias("top"))
+    marked = counts.join(tops, "a").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
+    answers = asked.select("block", "pair").join(marked, "pair").select("block", "pair", "n", "best")
+    kept = held.filter(F.col("pairs").isNull()).drop("pairs", "holders").withColumnRenamed("block", "part")
+    found = kept.groupBy("part").cogroup(answers.groupBy("block")).applyInArrow(answer_worker(), RESULT)
     return found.withColumnRenamed("key", key)
 
 

@@ -273,7 +273,7 @@ def test_tasks_carry_their_code():
     slots = np.zeros(4, np.uint64)
     model = toxicity.Model(b"", b"", np.zeros(1), np.ones(1), np.zeros(2))
     for task in (
-        alignment.pair_worker("a", "b"), alignment.count_worker("a", "b"), phrases.word_counter(0)[0],
+        alignment.block_worker("a", "b", 1), alignment.answer_worker(), phrases.word_counter(0)[0],
         phrases.run_counter(0, slots, [])[0], phrases.window_counter(0, slots, [slots])[0], phrases.slot_counter(8), toxicity.scorer,
     ):
         assert not by_name(cloudpickle.dumps(task))
