@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.config import EntropySettings
 from credsieve.functions.masking import preview
 from credsieve.functions.severity import severity_rank
 from credsieve.operators.suppress import KEPT
@@ -83,3 +84,10 @@ def rule_activity(rules: DataFrame, matches: DataFrame) -> DataFrame:
         F.coalesce("hits", F.lit(0)).alias("hits"),
         F.coalesce("findings", F.lit(0)).alias("findings"),
     )
+
+
+def rule_listing(rules: DataFrame, matches: DataFrame, entropy: EntropySettings) -> DataFrame:
+    """``rule_activity`` with the state of the entropy detector beside each rule."""
+    return rule_activity(rules, matches).withColumns(
+        {"entropy_enabled": F.lit(entropy.enabled), "entropy_threshold": F.lit(float(entropy.threshold))}
+    )

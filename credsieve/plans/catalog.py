@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,7 @@ from credsieve.sinks.sarif import result_columns, rule_columns, sarif_documents
 from credsieve.sources.baseline import read_baseline
 from credsieve.sources.files import decoded, lines_from_files, listed_only, read_files, select_text_files
 from credsieve.sources.rules import merge_rules, rules_from_table, rules_table
+from credsieve.sources.settings import read_settings
 from credsieve.sources.texts import lines_from_text
 from credsieve.streaming.incremental import report_once, run_once, stream_files, stream_findings
 
@@ -396,6 +398,23 @@ def findings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.findings_view(corpus_scan(spark, sf_dir).matches)
 
 
+def file_settings(spark: SparkSession) -> ScanSettings:
+    """The user's document with the entropy detector off, written down and read back."""
+    path = shared_folder(spark, "settings")
+    document = json.dumps(USER_DOCUMENT | {"entropy": {"enabled": False, "threshold": 4.2}}, indent=1)
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    return read_settings(spark, path)
+
+
+def settings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_scan(spark, sf_dir, file_settings(spark)).findings
+
+
+def rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = file_settings(spark)
+    return S.rule_listing(rules_table(spark, settings.rules), corpus_scan(spark, sf_dir, settings).matches, settings.entropy)
+
+
 def rule_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = user_config()
     return S.rule_activity(rules_table(spark, settings.rules), corpus_scan(spark, sf_dir, settings).matches)
@@ -575,6 +594,8 @@ QUERIES: dict[str, Query] = {
     "gate": gate,
     "findings_view": findings_view,
     "rule_activity": rule_activity,
+    "rule_listing": rule_listing,
+    "settings_file": settings_file,
     "json_findings": json_findings,
     "json_summary": json_summary,
     "json_documents": json_documents,

@@ -2,13 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import In, LessThan, StringStartsWith
 
-from credsieve import scan
+from credsieve import SettingsError, scan, user_settings
 from credsieve.operators.diffs import (
     UnknownRange, added_lines, diff_lines_from_text, in_range, latest_authors, range_lines, split_range,
     with_authors,
 )
 from credsieve.rules import MAX_FILE_BYTES
 from credsieve.sources.files import lines_from_files, read_files
+from credsieve.sources.settings import read_settings
 from credsieve.sources.texts import lines_from_text
 from credsieve.sources.tree import OPEN_BYTES, Tree, TreeSource, use_trees, wanted
 
@@ -227,3 +228,17 @@ def test_a_stream_reads_only_new_files(spark, tmp_path):
     put("late.txt")
     assert run() == [".env", "a/.c/d.txt", "a/_b.txt"]
     assert run() == [".env", "a/.c/d.txt", "a/_b.txt", "late.txt"]
+
+
+def test_settings_from_a_file(spark, tmp_path):
+    assert read_settings(spark, str(tmp_path / "none.json")) == user_settings({})
+    path = tmp_path / "settings.json"
+    path.write_text('{"entropy": {"enabled": false}, "ignore_paths": ["x/*"], "unknown": 1}')
+    got = read_settings(spark, str(path))
+    assert not got.entropy.enabled and got.ignore_paths[-1] == "x/*" and got.rules == user_settings({}).rules
+    for bad in ("{", "[1]", '{"entropy": {"min_length": 2}}', '{"rules": [{"id": "a", "name": "b", "pattern": "("}]}'):
+        path.write_text(bad)
+        with pytest.raises(SettingsError):
+            read_settings(spark, str(path))
+    path.write_text("  ")
+    assert read_settings(spark, str(path)) == user_settings({})
