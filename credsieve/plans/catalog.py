@@ -30,7 +30,7 @@ from credsieve.sources.files import decoded, lines_from_files, listed_only, read
 from credsieve.sources.rules import merge_rules, rules_from_table, rules_table
 from credsieve.sources.settings import read_settings
 from credsieve.sources.texts import lines_from_text
-from credsieve.streaming.incremental import report_once, run_once, stream_files, stream_findings
+from credsieve.streaming.incremental import report_once, run_once, stream_files, stream_findings, write_following
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -545,6 +545,15 @@ def stream_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(found).select("fingerprint", "rule_id", "file_path", "line_number")
 
 
+def stream_following(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stream_baseline`` with the baseline as a file that every batch reads anew."""
+    baseline, found, progress = (shared_folder(spark, name) for name in ("baseline", "findings", "progress"))
+    known = scan(C.event_lines(C.table(spark, sf_dir, "events"))).findings.filter(F.col("file_path").contains("view"))
+    write_baseline(known, baseline, table=True)
+    write_following(_stream_lines(spark, sf_dir), baseline, found, progress, user_config()).awaitTermination()
+    return spark.read.parquet(found).select("fingerprint", "rule_id", "file_path", "line_number")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stream_findings(_stream_lines(spark, sf_dir), user_config(), keep=["ts"])
     return run_once(report_once(found, "ts", "30 days")).select("fingerprint", "rule_id", "file_path", "secret_masked")
@@ -609,5 +618,6 @@ QUERIES: dict[str, Query] = {
     "stream_scan": stream_scan,
     "tree_stream": tree_stream,
     "stream_baseline": stream_baseline,
+    "stream_following": stream_following,
     "stream_dedup": stream_dedup,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from credsieve.config import ScanSettings
 from credsieve.plans.scan import scan
 from credsieve.scratch import shared_folder
+from credsieve.sources.baseline import read_baseline
 from credsieve.sources.tree import use_trees
 
 
@@ -58,6 +61,27 @@ def write_new(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def write_following(
+    lines: DataFrame, baseline: str, path: str, checkpoint: str, settings: ScanSettings | None = None, *,
+    mode: str = "staged", trigger: Mapping[str, object] | None = None, **options,
+) -> StreamingQuery:
+    """Findings of a stream of lines, each batch against the baseline as it is when the batch begins.
+
+    A batch is scanned like a table and written to a folder of its own, ``batch_id=<n>``. A batch that is
+    repeated after a loss takes the place of its first try, so nothing is written twice. Without ``trigger`` what is available is read and
+    the stream ends.
+    """
+    if not lines.isStreaming:
+        raise ValueError("the lines are not a stream")
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        known = read_baseline(batch.sparkSession, baseline)
+        found = scan(batch, settings, mode=mode, baseline=known, **options).findings
+        found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={number}")
+
+    return lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def run_once(findings: DataFrame) -> DataFrame:
     """Run a stream to the end of its input and give back what it wrote."""
     spark = findings.sparkSession
