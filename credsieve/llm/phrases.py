@@ -213,23 +213,33 @@ def windows_of(ids: np.ndarray, links: list[np.ndarray]) -> list[np.ndarray]:
     return [c[columns[1] != 0] for c in columns]
 
 
+def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct windows with the sums of their counts, which stand last."""
+    order = np.lexsort(columns[-2::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(columns[-1], at) if len(at) else columns[-1]
+    return [*(c[at] for c in columns[:-1]), n]
+
+
 def window_counter(seed: int, words: np.ndarray, filters: list[np.ndarray]):
     """A task that counts longest windows."""
     names = [f"w{k}" for k in range(1, LONGEST + 1)]
     schema = pa.schema([(n, pa.int64()) for n in [*names, "n"]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * (LONGEST + 1)
         for ids in _texts(batches, seed, words):
             if len(ids) < LONGEST:
                 ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-            columns = windows_of(ids, links_of(ids, filters))
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            new = np.ones(len(order), bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(order))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), pa.array(n)], schema=schema)
+            found = windows_of(ids, links_of(ids, filters))
+            held = summed([np.concatenate(c) for c in zip(held, [*found, np.ones(len(found[0]), np.int64)], strict=True)])
+            if len(held[0]) >= HELD_WINDOWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], schema=schema)
+                held = [c[:0] for c in held]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], schema=schema)
 
     return work, ", ".join(f"{n} long" for n in [*names, "n"])
 
