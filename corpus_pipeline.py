@@ -11,6 +11,10 @@ from credsieve.llm.common import stash, table
 from credsieve.llm.queries import tokenizer_path
 
 
+# Keys from here on are those of further texts under an id.
+OTHER_TEXTS = 1 << 62
+
+
 def whole(docs: DataFrame) -> Column:
     """The document as one column, out of the way of what an operator adds."""
     return F.struct(*docs.columns).alias("__doc")
@@ -36,15 +40,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Rows that share an id are one document; the row with the smallest text stays. Rows without an id
-    stay.
+    Rows that share an id and a text are one document. Rows that share an id only are compared like
+    any others: all but one of their texts get a key above all ids. Rows without an id stay.
     """
-    groups = minhash.near_duplicates(docs, "doc_id", "text")
-    kept = groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    first = named.withColumn("__place", place).filter(F.col("__place") == 1)
-    return first.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    version = F.xxhash64("text")
+    texts = docs.groupBy("doc_id").agg(F.min(version).alias("__least"), F.max(version).alias("__most"))
+    shared = stash(texts.filter(F.col("__least") != F.col("__most")).select("doc_id", "__least"), "shared-ids")
+    named = docs.select(whole(docs), "doc_id", "text").filter(F.col("doc_id").isNotNull()).join(shared, "doc_id", "left")
+    other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(OTHER_TEXTS - 1)).bitwiseOR(F.lit(OTHER_TEXTS))
+    key = F.when(F.col("__least").isNull() | (version == F.col("__least")), F.col("doc_id").cast("long")).otherwise(other)
+    named = named.select("__doc", key.alias("__key"), "text")
+    kept = minhash.near_duplicates(named, "__key", "text").filter("kept").select("__key").distinct()
+    place = F.row_number().over(W.partitionBy("__key").orderBy("__doc"))
+    first = named.join(kept, "__key", "left_semi").withColumn("__place", place).filter(F.col("__place") == 1)
+    return first.select("__doc.*").union(docs.filter(F.col("doc_id").isNull()))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
