@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from credsieve.llm import linking
 from credsieve.llm.common import WordHashes, hash_family, ship, stash, window_hashes
-from credsieve.llm.fuzzy_lines import without_lines
+from credsieve.llm.fuzzy_lines import text_version, without_lines
 from credsieve.llm.minhash import PERCENT, WIDTH, band_keys, confirm, loneliness, open_pairs, plausible
 
 LEAST_WORDS = WIDTH
@@ -28,7 +28,7 @@ RECALL = 0.9999
 MARKS = 64
 WORDS_AT_ONCE = 1 << 16
 
-FOUND = "doc_id long, paragraph int, n_words int, id long, n int, bands array<long>, marks binary"
+FOUND = "doc_id long, version long, paragraph int, n_words int, id long, n int, bands array<long>, marks binary"
 SETS = "id long, set array<long>"
 
 
@@ -65,9 +65,9 @@ class Signer:
         self.sets: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, doc_id: int, place: int, words: list[bytes]) -> None:
+    def add(self, doc_id: int, version: int, place: int, words: list[bytes]) -> None:
         shingles = np.unique(window_hashes(self.known.of(words), self.width))
-        self.places.append((doc_id, place, len(words), identity(words), len(shingles)))
+        self.places.append((doc_id, version, place, len(words), identity(words), len(shingles)))
         self.sets.append(shingles)
         self.held += len(shingles)
 
@@ -88,17 +88,17 @@ class Signer:
 
 def sign_worker(least_words: int, width: int, rows: int, bands: int, seed: int):
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("n_words", pa.int32()), ("id", pa.int64()), ("n", pa.int32()),
+        ("doc_id", pa.int64()), ("version", pa.int64()), ("paragraph", pa.int32()), ("n_words", pa.int32()), ("id", pa.int64()), ("n", pa.int32()),
         ("bands", pa.list_(pa.int64())), ("marks", pa.binary()),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(width, rows, bands, seed)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id = doc_id.as_py()
+            for doc_id, version, text in zip(*batch.columns, strict=True):
+                doc_id, version = doc_id.as_py(), version.as_py()
                 for place, words in long_paragraphs(text.as_py(), least_words):
-                    signer.add(doc_id, place, words)
+                    signer.add(doc_id, version, place, words)
                     if signer.held >= WORDS_AT_ONCE:
                         yield signer.signed(schema)
         if signer.places:
@@ -135,27 +135,28 @@ def repeated_paragraphs(
     rows: int = ROWS, recall: float = RECALL, seed: int = 10,
 ) -> DataFrame:
     """One row per occurrence of a paragraph that occurs twice or more, exactly or nearly:
-    ``doc_id, paragraph`` (its line, from 0), ``n_words, group`` (an id of the connected group)
-    and ``kept``, true for the group's first occurrence by (doc_id, paragraph).
+    ``doc_id, paragraph`` (its line, from 0), ``n_words, group`` (an id of the connected group),
+    ``kept``, true for the group's first occurrence by (doc_id, version, paragraph), and ``version``, the
+    ``text_version`` of its text.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space. Null and empty texts and
-    shorter paragraphs have no rows. Occurrences within one document count. Rows that share a key are
-    one document's: the first of equal occurrences is kept once. A null key is last. An empty
+    shorter paragraphs have no rows. Occurrences within one document count. Rows that share a key and a
+    text are one document's: the first of equal occurrences is kept once; with other texts they are documents of their own. A null key is last. An empty
     table gives no rows. Other columns are not looked at.
     """
     bands = bands_for(percent, rows, recall)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), text_version(text).alias("version"), F.col(text).cast("string").alias("text"))
     found = stash(texts.mapInArrow(sign_worker(least_words, width, rows, bands, seed), FOUND), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "paragraph")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "paragraph")
     first = found.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n_times"))
-    first = stash(first.select("id", "place.doc_id", "place.paragraph", "n_times"), "paragraph-ids")
+    first = stash(first.select("id", "place.doc_id", "place.version", "place.paragraph", "n_times"), "paragraph-ids")
     members = found.select(F.explode("bands").alias("key"), "id")
     alive = stash(linking.alive_members(members).distinct(), "paragraphs-alive")
     in_bucket = alive.select("id").distinct()
     nodes = stash(found.join(in_bucket, "id", "left_semi").select("id", "n", "marks").dropDuplicates(["id"]), "paragraph-nodes")
 
-    wanted = first.join(in_bucket, "id").groupBy("doc_id").agg(F.collect_set("paragraph").alias("wanted"))
-    chosen = texts.join(stash(wanted, "paragraphs-wanted"), "doc_id").select("wanted", "text")
+    wanted = first.join(in_bucket, "id").groupBy("doc_id", "version").agg(F.collect_set("paragraph").alias("wanted"))
+    chosen = texts.join(stash(wanted, "paragraphs-wanted"), ["doc_id", "version"]).select("wanted", "text")
     sets = stash(chosen.mapInArrow(set_worker(least_words, width), SETS).dropDuplicates(["id"]), "paragraph-sets")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -173,24 +174,24 @@ def repeated_paragraphs(
 def occurrences(found: DataFrame, first: DataFrame, groups: DataFrame) -> DataFrame:
     """Occurrences of linked or repeated paragraphs, each group's first one marked."""
     classes = linking.in_groups(first, groups)
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "paragraph")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "paragraph")
     tops = classes.groupBy(F.col("component").alias("group")).agg(
         F.min(place).alias("top"), F.sum("n_times").alias("n_in_group")
     )
     tops = tops.filter(F.col("n_in_group") > 1)
     classes = classes.select("id", F.col("component").alias("group")).join(tops, "group")
-    rows = found.select("doc_id", "paragraph", "n_words", "id").join(classes, "id")
-    is_top = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "paragraph").eqNullSafe(F.col("top"))
-    tied = W.partitionBy("group", "doc_id", "paragraph").orderBy("id")
-    rows = rows.select("doc_id", "paragraph", "n_words", "group", is_top.alias("is_top"), "id")
+    rows = found.select("doc_id", "version", "paragraph", "n_words", "id").join(classes, "id")
+    tied = W.partitionBy("group", "doc_id", "version", "paragraph").orderBy("id")
+    rows = rows.select("doc_id", "paragraph", "n_words", "group", place.eqNullSafe(F.col("top")).alias("is_top"), "version", "id")
     kept = F.col("is_top") & (F.row_number().over(tied) == 1)
-    return rows.withColumn("kept", kept).drop("is_top", "id")
+    return rows.select("doc_id", "paragraph", "n_words", "group", kept.alias("kept"), "version")
 
 
 def without_repeats(docs: DataFrame, key: str, text: str, repeats: DataFrame) -> DataFrame:
     """``docs`` with the paragraphs that ``repeats`` does not keep taken out of ``text``."""
-    gone = repeats.filter(~F.col("kept")).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("paragraph").alias("__gone"))
-    joined = docs.join(gone, key, "left")
+    removed = repeats.filter(~F.col("kept"))
+    gone = removed.groupBy(F.col("doc_id").alias("__key"), F.col("version").alias("__version")).agg(F.collect_set("paragraph").alias("__gone"))
+    joined = docs.join(gone, (F.col(key).cast("long") == F.col("__key")) & (text_version(text) == F.col("__version")), "left")
     return joined.withColumn(text, without_lines(F.col(text), F.col("__gone"))).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import corpus_pipeline
 from credsieve.llm import fuzzy_lines, hamming, html_text, minhash, mixing, packing, paragraphs, pii, quality, queries, warc
 
@@ -78,6 +79,30 @@ def test_lines(odd, none):
     assert fuzzy_lines.dedup_lines(none, "doc_id", "text").count() == 0
 
 
+def test_lines_of_other_texts_under_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta\nsecond words stay"), (2, "a line nobody else has\nanother rare line")]
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    want = {(1, "alpha beta gamma delta", 1, 0), (2, "second words stay", 2, 1), (2, "a line nobody else has\nanother rare line", 2, 0)}
+    assert {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out} == want
+
+
+def test_paragraphs_of_other_texts_under_one_id_stay(spark):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, words[0]), (2, f"{words[0]}\n{words[1]}"), (2, f"{words[2]}\n{words[3]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = paragraphs.without_repeats(docs, "doc_id", "text", paragraphs.repeated_paragraphs(docs, "doc_id", "text"))
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(1, words[0]), (2, words[1]), (2, f"{words[2]}\n{words[3]}")}
+
+
+def test_near_dedup_drops_no_other_text_of_an_id(spark):
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(1, words[0]), (2, words[0] + " more"), (2, words[1]), (2, words[1]), (2, words[2]), (None, words[2]), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in kept if r["text"]} == {(1, words[0]), (2, words[1]), (2, words[2]), (None, words[2])}
+    assert len(kept) == 6
+
+
 def test_paragraphs(odd, none):
     rows = paragraphs.repeated_paragraphs(odd, "doc_id", "text").collect()
     assert sorted((r["doc_id"] or 99, r["kept"]) for r in rows) == [(1, True), (2, False), (2, False), (99, False)]
