@@ -5,8 +5,9 @@ parts that are named as something else than the article (menus, adverts, forms,
 left out. For each path the text outside links and the punctuation are added up and divided by the
 path's blocks. Both ratios are smoothed over neighbouring blocks, fused to a score and held against a
 threshold taken from the scores' spread. The smallest part of the page that encloses all chosen
-blocks is the article; within it, only blocks that are nothing but links and whose path was not
-chosen are left out.
+blocks is the article; within it, blocks that are nothing but links and whose path was not chosen are
+left out. Names that an article may well use itself (related, search, notice ...) leave nothing out
+there: a part with such a class is a path of its own with half the score, and the threshold decides.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>",
     re.DOTALL,
 )
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noembed noframes".split())
@@ -40,24 +41,36 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr img nobr".split()
 )
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody thead table figure figcaption".split())
 # An open element of the key ends where one of the values begins.
 ENDS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-OTHER_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotion|banner|sidebar|side|nav|navbar|"
-    r"navigation|menu|breadcrumbs?|footer|masthead|comments?|commentlist|discussion|replies|respond|disqus|cookies?|consent|gdpr|"
-    r"notices?|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"widget|toolbar|pagination|pager|search|complementary|contentinfo)(?:$|[\s_-])",
-    re.IGNORECASE,
+SURE = (
+    "ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|sidebar|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
+    "comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|popup|newsletter|subscribe|signup|share|sharing|pagination|"
+    "pager|complementary|contentinfo"
 )
+DOUBTFUL = (
+    "promotion|banner|side|menu|discussion|notices?|disclaimer|modal|overlay|login|social|related|recommended|widget|toolbar|search"
+)
+
+
+def named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.IGNORECASE)
+
+
+SURE_PARTS, DOUBTFUL_PARTS = named(SURE), named(DOUBTFUL)
+# Words of an article that is a reader's comment. An article that merely is open for comments is none.
+COMMENT = re.compile(r"(?:user-|reader-)?comment(?:[_-](?:\d+|body|item|entry|content))?|reply(?:[_-]\d+)?", re.IGNORECASE)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top)[_-]?header(?:$|[\s_-])", re.IGNORECASE)
 MARKS = re.compile(r"[.,;:!?，。；：！？、…]")
 
 RADIUS = 2
 SPREAD = 0.5
+DOUBT = 0.5
 
 
 class Page:
@@ -66,9 +79,9 @@ class Page:
     def __init__(self, html: str):
         self.parents, self.depths, self.tags = [-1], [0], [""]
         self.paths: dict[tuple[int, str], int] = {}
-        # stack: (tag, element, path, left out, inside an article)
-        self.stack: list[tuple] = [("", 0, 0, False, False)]
-        self.blocks: list[tuple[int, int, str, int]] = []
+        # stack: (tag, element, path, left out, inside an article, doubtful)
+        self.stack: list[tuple] = [("", 0, 0, False, False, False)]
+        self.blocks: list[tuple[int, int, str, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.read(html)
@@ -105,8 +118,8 @@ class Page:
     def close_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                _, element, path, _, _ = next(s for s in reversed(self.stack) if s[0] not in INLINE)
-                self.blocks.append((element, path, text, self.linked))
+                _, element, path, _, _, doubt = next(s for s in reversed(self.stack) if s[0] not in INLINE)
+                self.blocks.append((element, path, text, self.linked, doubt))
             self.parts, self.linked = [], 0
 
     def start(self, name: str, attributes: str) -> None:
@@ -115,27 +128,39 @@ class Page:
             self.imply_ends(name)
         if name in VOID:
             return
-        _, parent, path, out, inside = self.stack[-1]
+        _, parent, path, out, inside, doubt = self.stack[-1]
+        verdict = self.other_part(name, attributes, inside)
+        out, doubt = out or verdict == "out", doubt or verdict == "doubt"
         if name not in INLINE:
-            path = self.paths.setdefault((path, name), len(self.paths) + 1)
+            path = self.paths.setdefault((path, f"{name}?" if doubt else name), len(self.paths) + 1)
             self.parents.append(parent)
             self.depths.append(self.depths[parent] + 1)
             self.tags.append(name)
             parent = len(self.parents) - 1
-        out = out or self.other_part(name, attributes, inside)
-        self.stack.append((name, parent, path, out, inside or name in ARTICLE))
+        self.stack.append((name, parent, path, out, inside or name in ARTICLE, doubt))
 
     @staticmethod
-    def other_part(name: str, attributes: str, inside: bool) -> bool:
+    def other_part(name: str, attributes: str, inside: bool) -> str:
+        """Whether an element is "out", a "doubt" inside an article, or neither ("")."""
         if name in LEFT_OUT or (name == "header" and not inside):
-            return True
-        if not attributes or name in ("html", "body", "article", "main"):
+            return "out"
+        if not attributes or name in ("html", "body", "main"):
+            return ""
+        given = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(attributes)}
+        classes, anchor = f"{given.get('class', '')} {given.get('role', '')}", given.get("id", "")
+        if name == "article":
             # the page's own parts are never left out by name, but an article may be a comment
-            return name == "article" and "comment" in attributes.lower()
-        if HIDDEN.search(attributes):
-            return True
-        names = " ".join(value.strip("\"'") for _, value in NAMED.findall(attributes))
-        return bool(names and (OTHER_PARTS.search(names) or PAGE_HEADER.search(names)))
+            return "out" if any(COMMENT.fullmatch(w) for w in f"{classes} {anchor}".split()) else ""
+        hidden = "hidden" in given or "hidden" in classes.lower().split() or given.get("aria-hidden", "").lower() == "true"
+        if hidden or NO_DISPLAY.search(given.get("style", "")):
+            return "out"
+        if not inside:
+            names = f"{classes} {anchor}"
+            return "out" if any(p.search(names) for p in (SURE_PARTS, DOUBTFUL_PARTS, PAGE_HEADER)) else ""
+        # Headings and words of an article may be named after what they speak of.
+        if SURE_PARTS.search(classes if name in HEADINGS else f"{classes} {anchor}") or PAGE_HEADER.search(classes):
+            return "out"
+        return "doubt" if name not in INLINE and name not in HEADINGS and DOUBTFUL_PARTS.search(classes) else ""
 
     def imply_ends(self, name: str) -> None:
         if name in ENDS:
@@ -164,11 +189,11 @@ class Page:
             if name in INLINE and self.stack[k][0] not in INLINE:
                 break
 
-    def article(self, chosen: list[tuple[int, int, str, int]]) -> int:
+    def article(self, chosen: list[tuple]) -> int:
         """The outermost article or main part with most of the chosen text, else what encloses all
         chosen blocks, a single block's surroundings included."""
         letters: dict[int, int] = {}
-        for element, _, text, _ in chosen:
+        for element, _, text, _, _ in chosen:
             top, e = 0, element
             while e > 0:
                 top = e if self.tags[e] in ARTICLE else top
@@ -201,8 +226,8 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[RADIUS : RADIUS + len(values)] / weights
 
 
-def path_scores(blocks: list[tuple[int, int, str, int]]) -> np.ndarray:
-    """Fused ratio of text and of punctuation per path, smoothed along the page."""
+def path_scores(blocks: list[tuple]) -> np.ndarray:
+    """Fused ratio of text and of punctuation per path, smoothed along the page; half of it where the name is doubtful."""
     paths = np.asarray([b[1] for b in blocks])
     letters = np.asarray([max(0, len(b[2]) - b[3]) for b in blocks], float)
     marks = np.asarray([len(MARKS.findall(b[2])) for b in blocks], float)
@@ -210,7 +235,8 @@ def path_scores(blocks: list[tuple[int, int, str, int]]) -> np.ndarray:
     each = np.bincount(which)
     text_ratio = (np.bincount(which, letters) / each)[which]
     mark_ratio = (np.bincount(which, marks) / each)[which]
-    return smoothed(text_ratio) * (1 + smoothed(mark_ratio))
+    trust = np.where([b[4] for b in blocks], DOUBT, 1.0)
+    return trust * smoothed(text_ratio) * (1 + smoothed(mark_ratio))
 
 
 def main_text(html: str | None) -> str:
@@ -224,7 +250,7 @@ def main_text(html: str | None) -> str:
     chosen = scores >= min(SPREAD * scores.std(), scores.max())
     around = page.article([b for b, c in zip(blocks, chosen, strict=True) if c])
     inside, kept = {around: True, 0: around == 0}, []
-    for (element, _, text, linked), c in zip(blocks, chosen, strict=True):
+    for (element, _, text, linked, doubt), c in zip(blocks, chosen, strict=True):
         trail = []
         e = element
         while e not in inside:
@@ -232,7 +258,7 @@ def main_text(html: str | None) -> str:
             e = page.parents[e]
         for t in trail:
             inside[t] = inside[e]
-        if inside[element] and (c or linked < len("".join(text.split()))):
+        if inside[element] and (c or not doubt and linked < len("".join(text.split()))):
             kept.append(text)
     return "\n".join(kept)
 

@@ -148,6 +148,39 @@ def test_main_text(around):
     assert html_text.main_text(AROUND.replace("{}", around.replace("{}", ARTICLE))) == WANT
 
 
+@pytest.mark.parametrize(
+    "article",
+    [
+        '<article class="post comments-open" data-comment-count="3">{}</article>',
+        "<article><div title='the hidden truth'>{}</div></article>",
+        "<main><section id='discussion'>{}</section></main>",
+        "<article><div class='search-results'>{}</div></article>",
+    ],
+)
+def test_an_article_may_use_the_words_of_other_parts(article):
+    assert html_text.main_text(AROUND.replace("{}", article.replace("{}", ARTICLE))) == WANT
+
+
+def test_headings_and_words_of_an_article_stay_whatever_their_names():
+    article = "<article><h2 id='related-work'>Related work</h2><p>Some <span class='notice'>noted</span> text, and more of it.</p></article>"
+    assert html_text.main_text(AROUND.replace("{}", article)) == "Related work\nSome noted text, and more of it."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<article class='comment' id='comment-7'><p>I, a reader, agree.</p></article>", "<div class='share'>Share, now.</div>",
+        "<div hidden><p>Not, seen.</p></div>", "<p style='display: none'>Not, seen.</p>", "<p class='big hidden'>Not, seen.</p>",
+        "<p aria-hidden='true'>Not, seen.</p>", "<div id='newsletter'>Mail, please.</div>",
+        "<div class='related'><a href='x'>Another one</a> now</div>",
+    ],
+)
+def test_other_parts_of_an_article_go(part):
+    long = "".join(f"<p>Paragraph {i}, with a good deal of text in it, and marks; it goes on for a while.</p>" for i in range(9))
+    want = html_text.main_text(AROUND.replace("{}", f"<article>{long}</article>"))
+    assert html_text.main_text(AROUND.replace("{}", f"<article>{long}{part}</article>")) == want
+
+
 @pytest.mark.parametrize("html", [None, "", "<html></html>", "<p", "<!--", "<script>x", "<div><div></p></b>", "<" * 5000, "<b>" * 3000])
 def test_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
