@@ -23,8 +23,9 @@ from credsieve.plans.scan import Scan, scan
 from credsieve.rules import IGNORED_GLOBS
 from credsieve.scratch import shared_folder
 from credsieve.sinks.baseline import fingerprints, write_baseline
-from credsieve.sinks.json_report import finding_json, report_documents, summary_json
-from credsieve.sinks.sarif import result_columns, rule_columns, sarif_documents
+from credsieve.sinks.folders import read_folder
+from credsieve.sinks.json_report import finding_json, report_documents, summary_json, write_json_report
+from credsieve.sinks.sarif import result_columns, rule_columns, sarif_documents, write_sarif
 from credsieve.sources.baseline import read_baseline
 from credsieve.sources.files import decoded, lines_from_files, listed_only, read_files, select_text_files
 from credsieve.sources.rules import merge_rules, rules_from_table, rules_table
@@ -441,6 +442,15 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report folder written and read back, with the counts of its index."""
+    path = shared_folder(spark, "json-report")
+    write_json_report(corpus_scan(spark, sf_dir), path, size=200)
+    shape = "target string, findings array<struct<fingerprint: string, file_path: string, line_number: int, column_start: int>>"
+    docs = read_folder(spark, path).select("summary", F.from_json("value", shape).alias("doc"))
+    return docs.select("doc.target", "summary.*", F.inline("doc.findings"))
+
+
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_columns(corpus_scan(spark, sf_dir).safe_findings)
 
@@ -451,19 +461,29 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sarif_documents_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SARIF logs, taken apart again; every result names a rule of its own log."""
-    docs = sarif_documents(corpus_scan(spark, sf_dir), size=200)
+    return flat_logs(sarif_documents(corpus_scan(spark, sf_dir), size=200))
+
+
+def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of SARIF logs written and read back, with the suppressed count of its index."""
+    path = shared_folder(spark, "sarif-report")
+    write_sarif(corpus_scan(spark, sf_dir), path, size=200)
+    docs = read_folder(spark, path)
+    return flat_logs(docs, F.col("summary.suppressed"))
+
+
+def flat_logs(docs: DataFrame, suppressed: Column | None = None) -> DataFrame:
     shape = (
         "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, "
         "results: array<struct<ruleId: string, level: string, locations: array<struct<physicalLocation: "
         "struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>>>, "
         "properties: struct<suppressedCount: bigint>>>"
     )
-    run = docs.select(F.from_json("value", shape).alias("doc")).select(
-        "doc.version", F.col("doc.runs")[0].alias("run")
-    )
-    rows = run.select(
-        "version",
-        F.col("run.properties.suppressedCount").alias("suppressed"),
+    parsed = docs.withColumn("doc", F.from_json("value", shape)).withColumn("run", F.col("doc.runs")[0])
+    own = F.col("run.properties.suppressedCount")
+    rows = parsed.select(
+        "doc.version",
+        (own if suppressed is None else suppressed).alias("suppressed"),
         F.col("run.tool.driver.rules.id").alias("ids"),
         F.explode("run.results").alias("r"),
     )
@@ -608,9 +628,11 @@ QUERIES: dict[str, Query] = {
     "json_findings": json_findings,
     "json_summary": json_summary,
     "json_documents": json_documents,
+    "json_report": json_report,
     "sarif_results": sarif_results,
     "sarif_rules": sarif_rules,
     "sarif_documents": sarif_documents_flat,
+    "sarif_report": sarif_report,
     "diff_added_lines": diff_added_lines,
     "author_map": author_map,
     "staged_scan": staged_scan,

@@ -376,6 +376,11 @@ _HEX = "regexp_replace(raw_value, '[^0-9a-fA-F]', '', 'g')"
 # With the entropy detector off there are the same rules' matches and no others.
 ORACLE_SQL["settings_file"] = f"{scan_ctes()} select {FINDING} from kept where match_type = 'regex'"
 ORACLE_SQL["rule_listing"] = f"select *, false as entropy_enabled, 4.2::double as entropy_threshold from ({ORACLE_SQL['rule_activity']}) as r"
+ORACLE_SQL["sarif_report"] = ORACLE_SQL["sarif_documents"]
+ORACLE_SQL["json_report"] = (
+    f"select s.target, total, critical, high, suppressed, scanned_files, scanned_lines, fingerprint, file_path, line_number, column_start "
+    f"from ({scan_ctes()} select fingerprint, file_path, line_number, column_start from kept) as f cross join ({summary_sql(scan_ctes())}) as s"
+)
 ORACLE_SQL["stream_following"] = ORACLE_SQL["stream_baseline"]
 ORACLE_SQL["tree_stream"] = ORACLE_SQL["tree_scan"]
 ORACLE_SQL["baseline_table_roundtrip"] = ORACLE_SQL["baseline_roundtrip"]

@@ -129,6 +129,20 @@ class Scan:
         kept = self.matches.filter(F.col("status") == KEPT)
         return kept.withColumn("line_preview", F.col("safe_preview")) if safe else kept
 
+    @property
+    def safe_matches(self) -> DataFrame:
+        """Matches whose preview masks every secret on the line."""
+        return self.matches.withColumn("line_preview", F.col("safe_preview"))
+
+    @property
+    def scanned(self) -> DataFrame:
+        """``scanned_files, scanned_lines`` of the summary, without a look at what the lines hold."""
+        files = self._lines.groupBy("file_path", "path_ignored").agg(F.count(F.lit(1)).alias("lines"))
+        return files.agg(
+            F.count_if(~F.col("path_ignored") & F.col("file_path").isNotNull()).alias("scanned_files"),
+            F.coalesce(F.sum("lines"), F.lit(0)).alias("scanned_lines"),
+        )
+
     @property
     def findings(self) -> DataFrame:
         """What is left to report. ``line_preview`` masks the finding's own span."""

@@ -14,8 +14,8 @@ def fingerprints(findings: DataFrame) -> DataFrame:
 
 
 def baseline_documents(findings: DataFrame, size: int = DOCUMENT_SIZE) -> DataFrame:
-    """Baseline documents (column ``value``) of at most ``size`` fingerprints, in order."""
-    parts = in_chunks(fingerprints(findings), ["fingerprint"], size)
+    """Baseline documents (column ``value``) of at most ``size`` fingerprints, each in order."""
+    parts = in_chunks(fingerprints(findings), ["fingerprint"], size, ranged=False)
     return parts.groupBy("chunk").agg(
         F.to_json(
             F.struct(

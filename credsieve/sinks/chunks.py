@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 _ROW_BITS = 33
 
 
-def in_chunks(df: DataFrame, order: list[str | Column], size: int) -> DataFrame:
+def in_chunks(df: DataFrame, order: list[str | Column], size: int, ranged: bool = True) -> DataFrame:
     """Add ``chunk``: rows sorted by ``order`` in pieces of at most ``size``.
 
     Rows are range-partitioned and sorted, and numbered within their partition, so no task holds
     more than its range and no group more than ``size`` rows, whatever the number of findings.
+    Ranges cost a second run of ``df`` to sample it; unless ``ranged``, rows stay in the partitions
+    they are in, and pieces are in order only within each.
     """
     n = F.monotonically_increasing_id()
     row = n.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        df.repartitionByRange(*order)
+        (df.repartitionByRange(*order) if ranged else df)
         .sortWithinPartitions(*order)
         .withColumn(
             "chunk",

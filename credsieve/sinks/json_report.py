@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import credsieve
+from credsieve.operators.suppress import KEPT
 from credsieve.plans.scan import Scan
 from credsieve.schema import FINDING_COLUMNS, SCAN_ORDER
 from credsieve.sinks.chunks import in_chunks
+from credsieve.sinks.folders import in_scan_order, write_folder
 
 DOCUMENT_SIZE = 5_000
 _WITH_NULLS = {"ignoreNullFields": "false"}
@@ -71,8 +75,22 @@ def report_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
     )
 
 
-def write_json_report(scan: Scan, path: str) -> None:
-    report_documents(scan).write.mode("overwrite").text(path)
+def report_rows(scan: Scan) -> DataFrame:
+    """Matches in scan order, kept ones with their JSON; what a report folder is written from."""
+    item = F.when(F.col("status") == KEPT, F.to_json(F.struct(*FINDING_COLUMNS), _WITH_NULLS))
+    rows = in_scan_order(scan.safe_matches, SCAN_ORDER)
+    return rows.select("status", "severity", item.alias("item"), "rule_id", F.lit(None).cast("string").alias("rule"))
+
+
+def write_json_report(scan: Scan, path: str, size: int = DOCUMENT_SIZE) -> None:
+    """A report folder: documents of up to ``size`` findings, and an index with the counts of the run.
+
+    Lines are searched once. Files and lines are counted before, by a job that searches nothing, as a
+    count of distinct files cannot be had on the way and counters on the way count repeated tasks twice.
+    """
+    now = datetime.now(UTC).isoformat(timespec="microseconds")
+    head = {"version": credsieve.__version__, "generated_at": now, "scan_mode": scan.mode, "target": scan.target}
+    write_folder(report_rows(scan), path, "json", head, size, scan.scanned.first().asDict())
 
 
 def write_findings(scan: Scan, path: str) -> None:

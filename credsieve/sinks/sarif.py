@@ -11,6 +11,7 @@ from credsieve.operators.suppress import KEPT
 from credsieve.plans.scan import Scan
 from credsieve.schema import SCAN_ORDER
 from credsieve.sinks.chunks import in_chunks
+from credsieve.sinks.folders import in_scan_order, write_folder
 
 # Fixed values of the format.
 SARIF_VERSION = "2.1.0"
@@ -175,5 +176,22 @@ def sarif_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
     )
 
 
-def write_sarif(scan: Scan, path: str) -> None:
-    sarif_documents(scan).write.mode("overwrite").text(path)
+def log_rows(scan: Scan) -> DataFrame:
+    """Matches in scan order, kept ones as SARIF results with their rules."""
+    kept = F.col("status") == KEPT
+    item, rule = (F.when(kept, F.to_json(c, _WITH_NULLS)) for c in (result_struct(), rule_struct()))
+    rows = in_scan_order(scan.safe_matches, SCAN_ORDER)
+    return rows.select("status", "severity", item.alias("item"), "rule_id", rule.alias("rule"))
+
+
+def write_sarif(scan: Scan, path: str, size: int = DOCUMENT_SIZE) -> None:
+    """A report folder of SARIF logs with up to ``size`` results each, written by one pass over the lines.
+
+    ``suppressedCount`` of a log is that of its own stretch of matches; the index has the run's.
+    """
+    head = {
+        "log": {"version": SARIF_VERSION, "$schema": SARIF_SCHEMA},
+        "tool": {"name": TOOL, "version": credsieve.__version__},
+        "properties": {"scanMode": scan.mode, "target": scan.target},
+    }
+    write_folder(log_rows(scan), path, "sarif", head, size)
