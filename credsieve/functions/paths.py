@@ -5,6 +5,8 @@ import fnmatch
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credsieve.functions.lets import let
+
 
 def basename(path: Column) -> Column:
     return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
@@ -42,6 +44,11 @@ def ignored_by(path: Column, globs: list[str]) -> Column:
     A glob is tried on the full path; a leading ``**/`` may also stand for nothing; and what
     follows the last ``**`` may match the full path or the bare file name.
     """
+    # The path is bound, as the filter is pushed to where a path may be put together from columns.
+    return let(path, lambda p: _any_glob(p, globs)) if globs else F.lit(False)
+
+
+def _any_glob(path: Column, globs: list[str]) -> Column:
     tests: dict[tuple[str, str], Column] = {}
     name = basename(path)
     for glob in globs:
@@ -55,4 +62,4 @@ def ignored_by(path: Column, globs: list[str]) -> Column:
             tests["name", tail] = glob_match(name, tail)
     # One value and not a chain of ORs: a negated chain falls apart into dozens of filters, and
     # planning time grows steeply with those.
-    return F.greatest(F.lit(False), *tests.values()) if tests else F.lit(False)
+    return F.greatest(F.lit(False), *tests.values())

@@ -198,10 +198,14 @@ def detectors_for(settings: ScanSettings, on_arrow: Iterable[str] = ()) -> list[
 def may_hit(detectors: Sequence[Detector], content: Column) -> Column:
     """True on every line any detector reports, and on few others."""
     lengths = [d.run_length for d in detectors if d.run_length is not None]
-    tests = [t for d in detectors for t in d.cheap_tests(content)]
-    if lengths:
-        tests.insert(0, has_long_run(content, min(lengths)))
-    return _any(tests)
+
+    def tests(line: Column) -> Column:
+        cheap = [t for d in detectors for t in d.cheap_tests(line)]
+        return _any([has_long_run(line, min(lengths)), *cheap] if lengths else cheap)
+
+    # The filter is pushed below the projection that makes the line. Were the line not bound, it would
+    # be made anew for every test, and the code of a long expression would outgrow what the JVM compiles.
+    return let(content, tests)
 
 
 def all_hits(detectors: Sequence[Detector], content: Column) -> Column:
