@@ -144,4 +144,23 @@ def ablations(book: DataFrame, policy: str | list[str]) -> DataFrame:
     )
 
 
+def first_rule(policy: str | list[str]) -> Column:
+    """The policy's failing rule with the lowest bit; empty where none fails."""
+    names = sorted(POLICIES[policy] if isinstance(policy, str) else policy, key=BITS.get)
+    return F.coalesce(*[F.when(F.col("failed").bitwiseAND(F.lit(1 << BITS[r])) != 0, F.lit(r)) for r in names], F.lit(""))
+
+
+def with_ablations(book: DataFrame, policy: str | list[str]) -> DataFrame:
+    """``book`` with ``rule``, the ``first_rule`` of each row, and what ``ablations`` says of it.
+
+    Where no rule fails the rule is empty and the counts are 0; columns of ``book`` with their names are replaced. The
+    ledger is read twice, so it should be a stored one. What is joined has one row a rule.
+    """
+    added = ("rule", "n_failed", "n_only", "n_kept_without")
+    rows = book.select(*[c for c in book.columns if c not in added]).withColumn("rule", first_rule(policy))
+    joined = rows.join(F.broadcast(ablations(book, policy)), "rule", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in added[1:]]
+    return joined.select(*[c for c in rows.columns if c != "rule"], "rule", *counts)
+
+
 ship(__name__)

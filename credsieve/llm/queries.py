@@ -82,11 +82,13 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(table(spark, sf_dir, "documents"), "text")
+    book = quality.ledger(table(spark, sf_dir, "documents"), "text").select("doc_id", "measures", "failed")
+    book = quality.with_ablations(stash(book, "ledger"), quality.CURRENT)
     digest = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return book.select(
         "doc_id", *[f"measures.{m}" for m in digest], (~quality.passes("base")).alias("base_failed"),
         quality.passes(quality.CURRENT).alias("kept"), F.col("failed").alias("failed_rules"),
+        "rule", "n_failed", "n_only", "n_kept_without",
     )
 
 
@@ -182,10 +184,19 @@ with d as (
         + 16 * (100 * upper > 30 * letters)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT
         + 64 * (word_chars > 12 * n_words)::BIGINT)::BIGINT as failed_rules
     from measured
+), bits as (
+    select * from (values {", ".join(f"('{r}', {1 << b})" for r, b in quality.BITS.items())}) as v(rule, bit)
+), ablated as (
+    select rule, count(*) filter (where failed_rules & bit <> 0) as n_failed, count(*) filter (where failed_rules = bit) as n_only,
+        count(*) filter (where failed_rules & ~bit = 0) as n_kept_without
+    from failed, bits group by rule
+), named as (
+    select *, (select arg_min(rule, bit) from bits where failed_rules & bit <> 0) as rule from failed
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed,
-    failed_rules = 0 as kept, failed_rules
-from failed
+    failed_rules = 0 as kept, failed_rules, coalesce(rule, '') as rule,
+    coalesce(n_failed, 0) as n_failed, coalesce(n_only, 0) as n_only, coalesce(n_kept_without, 0) as n_kept_without
+from named left join ablated using (rule)
 """,
     "op6_systematic_mixing": f"""
 with sized as (

@@ -286,6 +286,15 @@ def test_ablations(spark):
     assert got == {"few_words": (6, 5, 3 + 7 + 5), "repeated_words": (3, 2, 3 + 7 + 2)}
 
 
+def test_rows_carry_the_ablation_of_their_first_rule(spark):
+    book = spark.createDataFrame([(0, "x"), (2, "x"), (3, "x"), (2, "x"), (4, "x")], "failed long, rule string")
+    rows = [tuple(r) for r in quality.with_ablations(book, "base").collect()]
+    assert sorted(rows, key=str) == sorted(
+        [(0, "", 0, 0, 0), (4, "", 0, 0, 0), (3, "few_words", 1, 0, 2), *[(2, "repeated_words", 3, 2, 4)] * 2], key=str
+    )
+    assert quality.with_ablations(book.limit(0), "base").count() == 0
+
+
 def test_mix_takes_the_same_rows_whatever_the_buckets(spark):
     rows = [(i * 37 % 501, "abc"[i % 3], i % 2 + 3) for i in range(500)] + [(None, "a", 3)]
     table = spark.createDataFrame(rows, "doc_id long, source string, size long")
