@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credsieve.operators.suppress import KEPT
+from credsieve.plans.scan import Scan
+from credsieve.scratch import shared_folder
+
 _ROW_BITS = 33
 
 
@@ -26,3 +30,27 @@ def in_chunks(df: DataFrame, order: list[str | Column], size: int, ranged: bool
             ),
         )
     )
+
+
+def found_once(scan: Scan) -> DataFrame:
+    """All matches of the scan, masked, written to scratch and read back.
+
+    Documents need them for the ranges, for the items and for the counts; each use would search all lines again.
+    """
+    spark = scan.matches.sparkSession
+    path = shared_folder(spark, "matches")
+    scan.safe_matches.write.parquet(path)
+    return spark.read.schema(scan.safe_matches.schema).parquet(path)
+
+
+def counts_of(scan: Scan, found: DataFrame) -> DataFrame:
+    """One row with those columns of the summary that the matches tell."""
+    kept = F.col("status") == KEPT
+    return found.agg(
+        F.lit(scan.mode).alias("scan_mode"),
+        F.lit(scan.target).alias("target"),
+        F.count_if(kept).alias("total"),
+        F.count_if(kept & (F.col("severity") == "critical")).alias("critical"),
+        F.count_if(kept & (F.col("severity") == "high")).alias("high"),
+        F.count_if(~kept).alias("suppressed"),
+    )

@@ -11,7 +11,7 @@ import credsieve
 from credsieve.operators.suppress import KEPT
 from credsieve.plans.scan import Scan
 from credsieve.schema import FINDING_COLUMNS, SCAN_ORDER
-from credsieve.sinks.chunks import in_chunks
+from credsieve.sinks.chunks import counts_of, found_once, in_chunks
 from credsieve.sinks.folders import in_scan_order, write_folder
 
 DOCUMENT_SIZE = 5_000
@@ -41,10 +41,12 @@ def report_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
     """Whole reports in column ``value``: the counts of the run and up to ``size`` findings each.
 
     A run with more findings gives several documents with the same head; one without any gives
-    a document with an empty list.
+    a document with an empty list. Lines are searched once, when this is called; files and lines are
+    counted by a job that searches nothing.
     """
+    found = found_once(scan)
     pieces = (
-        in_chunks(scan.with_order(safe=True), SCAN_ORDER, size)
+        in_chunks(found.filter(F.col("status") == KEPT), SCAN_ORDER, size)
         .groupBy("chunk")
         .agg(
             F.array_sort(
@@ -53,10 +55,11 @@ def report_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
         )
         .select(F.lit(1).alias("one"), F.col("sorted.finding").alias("findings"))
     )
-    head = scan.summary.withColumn("one", F.lit(1))
-    # The summary is one row, so sending it to every task is free of growth.
-    full = pieces.join(F.broadcast(head), "one").select(*scan.summary.columns, "findings")
-    clean = scan.summary.filter(F.col("total") == 0).withColumn(
+    # Both are one row, so sending them to every task is free of growth.
+    summary = counts_of(scan, found).crossJoin(F.broadcast(scan.scanned))
+    head = summary.withColumn("one", F.lit(1))
+    full = pieces.join(F.broadcast(head), "one").select(*summary.columns, "findings")
+    clean = summary.filter(F.col("total") == 0).withColumn(
         "findings", F.array().cast(pieces.schema["findings"].dataType)
     )
     counts = F.struct("total", "critical", "high", "suppressed", "scanned_files", "scanned_lines")

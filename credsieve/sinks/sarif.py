@@ -10,7 +10,7 @@ from credsieve.functions.severity import report_level
 from credsieve.operators.suppress import KEPT
 from credsieve.plans.scan import Scan
 from credsieve.schema import SCAN_ORDER
-from credsieve.sinks.chunks import in_chunks
+from credsieve.sinks.chunks import counts_of, found_once, in_chunks
 from credsieve.sinks.folders import in_scan_order, write_folder
 
 # Fixed values of the format.
@@ -124,9 +124,10 @@ def sarif_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
     """SARIF logs in column ``value``, each with up to ``size`` results and the rules they use.
 
     Consumers bound the results of one run, and a cluster must bound one group, so a large scan
-    gives several logs; a clean one gives a log without results.
+    gives several logs; a clean one gives a log without results. Lines are searched once, when this is called.
     """
-    rows = in_chunks(scan.with_order(safe=True), SCAN_ORDER, size).select(
+    found = found_once(scan)
+    rows = in_chunks(found.filter(F.col("status") == KEPT), SCAN_ORDER, size).select(
         "chunk", *SCAN_ORDER, result_struct().alias("result"), rule_struct().alias("rule")
     )
     pieces = rows.groupBy("chunk").agg(
@@ -142,7 +143,8 @@ def sarif_documents(scan: Scan, size: int = DOCUMENT_SIZE) -> DataFrame:
     pieces = pieces.withColumn(
         "rules", F.filter("rules", lambda r, i: F.array_position("rules.id", r["id"]) == i + 1)
     )
-    head = scan.summary.select("scan_mode", "target", "suppressed", "total").withColumn("one", F.lit(1))
+    counts = counts_of(scan, found)
+    head = counts.select("scan_mode", "target", "suppressed", "total").withColumn("one", F.lit(1))
     full = pieces.join(F.broadcast(head), "one").drop("one", "total")
     clean = head.filter(F.col("total") == 0).select(
         "scan_mode",
