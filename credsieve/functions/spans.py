@@ -89,7 +89,9 @@ def _placed(parts: Column) -> Column:
 
     return let(
         parts,
-        lambda items: F.flatten(F.transform(bases(items), lambda base, b: run(block(items, b), base))),
+        lambda items: F.when(F.size(items) <= BLOCK, run(items, F.lit(0))).otherwise(
+            F.flatten(F.transform(bases(items), lambda base, b: run(block(items, b), base)))
+        ),
     )
 
 

@@ -7,10 +7,12 @@ SQL that Spark and other engines read alike, and no template holds a whole crede
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from credsieve.sources.texts import lines_from_text
 
@@ -123,9 +125,77 @@ ORDER_LINES_SQL = (
 )
 
 
+# A line is put together from pieces of its template, each a text or a place in one of the derived strings.
+# One expression with all marks outgrows what the JVM compiles and made a line ten times dearer.
+_PIECE_TYPE = "array<array<struct<text: string, source: string, start: int, length: int>>>"
+
+
+def _pieces(template: str) -> list[dict[str, object]]:
+    fixed = {"<Q>": "'", "<N>": "\u00a0"}
+    found: list[dict[str, object]] = []
+    for part in re.split("(<[^>]+>)", template):
+        if part in fixed or not part.startswith("<"):
+            found.append({"text": fixed.get(part, part)})
+        elif part in ("<K>", "<M>"):
+            found.append({"source": part[1], "start": 1, "length": 1_000})
+        else:
+            length, _, start = part[2:-1].partition("@")
+            found.append({"source": part[1], "start": int(start or 1), "length": int(length)})
+    return [p for p in found if p.get("text") != ""]
+
+
+def with_line(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` plus the column ``line`` of ``with_line_sql``."""
+    names = [f"_h{i}" for i in range(4)]
+    text = F.col(key).cast("string")
+    hashed = rows.select("*", *[F.md5(F.concat(text, F.lit(s))).alias(n) for n, s in zip(names, "abcd", strict=True)])
+    h0, h1, h2, h3 = (F.col(n) for n in names)
+
+    def tame(text: Column, letters: str) -> Column:
+        return F.translate(F.substring(text, 1, 16), "0123456789abcdef", letters)
+
+    made = {
+        "A": F.concat(h0, F.upper(h1), h2, F.upper(h3)),
+        "C": F.upper(h0),
+        "D": F.translate(h0, "abcdef", "123456"),
+        "E": F.translate(h1, "abcdef", "123456"),
+        "X": F.concat(h0, h2),
+        "K": text,
+        "M": F.concat(tame(h0, "GHJKLMNPQRSTUVWX"), tame(h1, "ghjkmnpqrstuvwxy"), F.substring(h2, 1, 14)),
+    }
+
+    def filled(piece: Column) -> Column:
+        source = F.lit(None).cast("string")
+        for letter, value in made.items():
+            source = F.when(piece["source"] == letter, value).otherwise(source)
+        return F.coalesce(piece["text"], F.substring(source, piece["start"], piece["length"]))
+
+    templates = F.from_json(F.lit(json.dumps([_pieces(t) for t in TEMPLATES])), _PIECE_TYPE)
+    number = F.expr(f"cast(cast(floor({key} / 4) as bigint) % {len(TEMPLATES)} as int)")
+    line = F.array_join(F.transform(F.get(templates, number), filled), "")
+    return hashed.withColumn("line", line).drop(*names)
+
+
+def made_once(lines: DataFrame) -> DataFrame:
+    """The same rows, with ``content`` made where it is.
+
+    A filter on a derived line is otherwise pushed to the table and makes the line there a second time, with
+    every hash as often as the line's expression names it. It cannot be pushed through a generator.
+    """
+    names = lines.columns
+    bound = lines.select(*[n for n in names if n != "content"], F.explode(F.array("content")).alias("content"))
+    return bound.select(*names)
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        ORDER_LINES_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders").select("o_orderkey")
+    """The rows of ``ORDER_LINES_SQL``."""
+    lined = with_line(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return made_once(
+        lined.select(
+            F.expr(path_sql("o_orderkey")).alias("file_path"),
+            F.expr("cast(o_orderkey % 2000000000 as int)").alias("line_number"),
+            F.col("line").alias("content"),
+        )
     )
 
 
@@ -210,10 +280,33 @@ COMMITS_SQL = (
 
 
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.lit(DIFF_PARTS - 1)))
+    """The rows of ``DIFF_LINES_SQL``.
+
+    Orders are numbered before they are taken apart, so only their keys move and no line does. Orders that
+    share both keys have equal sections, whose lines alternate.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    row, rank = F.row_number().over(by_customer), F.rank().over(by_customer)
+    # Lines are many times the bytes of the keys, by which partitions would else be drawn together.
+    numbered = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey").select(
+        "*",
+        ((rank - 1) * DIFF_PARTS).alias("first"),
+        (row - rank).alias("copy"),
+        F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "o_orderkey")).alias("copies"),
+    )
+    sections = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(DIFF_PARTS - 1))).alias("j")).select(
+        "o_orderkey",
+        "o_custkey",
+        "j",
+        (F.col("first") + F.col("j") * F.col("copies") + F.col("copy")).cast("int").alias("seq"),
+        F.expr(DIFF_PATH_SQL).alias("path"),
+        # Only these parts hold a line.
+        F.expr("case j when 7 then o_orderkey when 9 then o_orderkey + 40 when 12 then o_orderkey + 80 end").alias("line_key"),
+    )
+    return with_line(sections, "line_key").select(
+        F.col("o_custkey").alias("diff_id"), "seq", F.expr(f"case j {_RAW_SQL} end").alias("raw")
     )
-    return spark.sql(DIFF_LINES_SQL.replace("from sections", "from {sections}"), sections=sections)
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +324,12 @@ EVENT_LINES_SQL = (
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    return events.sparkSession.sql(
-        EVENT_LINES_SQL.replace("from events", "from {events}"), events=events
+    """The rows of ``EVENT_LINES_SQL``."""
+    return made_once(
+        with_line(events, "user_id").select(
+            F.expr("concat('events/', event_type, '.log')").alias("file_path"),
+            F.expr("cast(event_id % 2000000000 as int)").alias("line_number"),
+            F.col("line").alias("content"),
+            "ts",
+        )
     )
