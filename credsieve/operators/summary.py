@@ -10,6 +10,7 @@ from credsieve.functions.masking import preview
 from credsieve.functions.severity import severity_rank
 from credsieve.operators.suppress import KEPT
 from credsieve.schema import SCAN_ORDER
+from credsieve.scratch import stored
 
 
 class SecretsFound(RuntimeError):
@@ -58,16 +59,22 @@ def assert_clean(summary: DataFrame) -> None:
 
 
 def findings_view(matches: DataFrame) -> DataFrame:
-    """Six columns for reading: worst first, then by path and scan order."""
+    """Six columns for reading: worst first, then by path and scan order.
+
+    Sorting samples its input first, which would search all lines twice; so the rows are stored when this is called.
+    """
     kept = matches.filter(F.col("status") == KEPT)
-    return kept.orderBy(severity_rank(F.col("severity")).desc(), *SCAN_ORDER).select(
-        F.upper("severity").alias("severity"),
-        F.col("rule_name").alias("rule"),
-        F.col("file_path").alias("file"),
-        F.col("line_number").alias("line"),
-        F.translate("secret_masked", "*", "•").alias("secret"),
-        preview(F.col("line_preview")).alias("preview"),
-    )
+    shown = {
+        "severity": F.upper("severity"),
+        "rule": F.col("rule_name"),
+        "file": F.col("file_path"),
+        "line": F.col("line_number"),
+        "secret": F.translate("secret_masked", "*", "•"),
+        "preview": preview(F.col("line_preview")),
+    }
+    order = F.struct(severity_rank(F.col("severity")).alias("rank"), *SCAN_ORDER).alias("order")
+    rows = stored(kept.select(order, *[c.alias(n) for n, c in shown.items()]), "view")
+    return rows.orderBy(F.col("order.rank").desc(), *[f"order.{n}" for n in SCAN_ORDER]).select(*shown)
 
 
 def rule_activity(rules: DataFrame, matches: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from credsieve.operators.suppress import KEPT
 from credsieve.plans.scan import Scan
-from credsieve.scratch import shared_folder
+from credsieve.scratch import stored
 
 _ROW_BITS = 33
 
@@ -37,10 +37,7 @@ def found_once(scan: Scan) -> DataFrame:
 
     Documents need them for the ranges, for the items and for the counts; each use would search all lines again.
     """
-    spark = scan.matches.sparkSession
-    path = shared_folder(spark, "matches")
-    scan.safe_matches.write.parquet(path)
-    return spark.read.schema(scan.safe_matches.schema).parquet(path)
+    return stored(scan.safe_matches, "matches")
 
 
 def counts_of(scan: Scan, found: DataFrame) -> DataFrame:

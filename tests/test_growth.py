@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credsieve.config import default_settings
 from credsieve.operators.detectors import RegexDetector, may_hit
+from credsieve.operators.summary import findings_view
 from credsieve.plans import corpus as C
 from credsieve.plans.scan import scan
 from credsieve.sinks.json_report import report_documents
@@ -72,3 +73,10 @@ def test_a_clean_scan_still_gives_one_document(lines):
     run = scan(lines(("a.py", 1, "nothing")))
     assert json.loads(report_documents(run).first()["value"])["findings"] == []
     assert [json.loads(r["value"])["runs"][0]["results"] for r in sarif_documents(run).collect()] == [[]]
+
+
+def test_a_view_searches_the_lines_once(lines):
+    run = scan(lines(("b.py", 2, "key = AKIA" + "IOSFODNN7EXAMPL2"), ("a.py", 1, "key = AKIA" + "IOSFODNN7EXAMPL3")))
+    view = findings_view(run.matches)
+    assert "hit_pos" not in plan(view)
+    assert [(r["file"], r["line"]) for r in view.collect()] == [("a.py", 1), ("b.py", 2)]
