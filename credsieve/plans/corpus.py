@@ -188,8 +188,13 @@ def made_once(lines: DataFrame) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``ORDER_LINES_SQL``."""
-    lined = with_line(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    """The rows of ``ORDER_LINES_SQL``.
+
+    Keys are few bytes and lines much work, so the keys are dealt to more tasks than their bytes would get.
+    """
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lined = with_line(keys, "o_orderkey")
     return made_once(
         lined.select(
             F.expr(path_sql("o_orderkey")).alias("file_path"),
