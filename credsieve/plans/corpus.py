@@ -126,7 +126,7 @@ ORDER_LINES_SQL = (
 
 
 # A line is put together from pieces of its template, each a text or a place in one of the derived strings.
-# One expression with all marks outgrows what the JVM compiles and made a line ten times dearer.
+# One expression that replaces every mark took four times as long (600,000 lines, 11.8 s against 2.8 s).
 _PIECE_TYPE = "array<array<struct<text: string, source: string, start: int, length: int>>>"
 
 
