@@ -176,17 +176,27 @@ def with_line(rows: DataFrame, key: str) -> DataFrame:
     return hashed.withColumn("line", line).drop(*names)
 
 
-def made_once(lines: DataFrame) -> DataFrame:
-    """The same rows, with ``content`` made where it is.
+def made_once(lines: DataFrame, made: str = "content") -> DataFrame:
+    """The same rows, with ``content`` (or another column) made where it is.
 
     A filter on a derived line is otherwise pushed to the table and makes the line there a second time, with
     every hash as often as the line's expression names it. It cannot be pushed through a generator.
     """
     names = lines.columns
-    bound = lines.select(*[n for n in names if n != "content"], F.explode(F.array("content")).alias("content"))
+    bound = lines.select(*[n for n in names if n != made], F.explode(F.array(made)).alias(made))
     return bound.select(*names)
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """These columns, dealt to as many tasks as shuffles have.
+
+    A table of few bytes, or of one row group, is read by few tasks, and its lines are much work. Streams and
+    tables are dealt alike, by all values, so that neither nulls nor one repeated key gather rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(parts, *columns)
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``ORDER_LINES_SQL``.
 
@@ -222,11 +232,12 @@ def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
+    texts = (
         document_texts(spark, sf_dir)
         .unionByName(page_texts(spark, sf_dir))
         .unionByName(conversation_texts(spark, sf_dir))
     )
+    return dealt(texts, "file_path", "text")
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +320,8 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Only these parts hold a line.
         F.expr("case j when 7 then o_orderkey when 9 then o_orderkey + 40 when 12 then o_orderkey + 80 end").alias("line_key"),
     )
-    return with_line(sections, "line_key").select(
-        F.col("o_custkey").alias("diff_id"), "seq", F.expr(f"case j {_RAW_SQL} end").alias("raw")
-    )
+    lined = with_line(sections, "line_key")
+    return made_once(lined.select(F.col("o_custkey").alias("diff_id"), "seq", F.expr(f"case j {_RAW_SQL} end").alias("raw")), "raw")
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +340,7 @@ EVENT_LINES_SQL = (
 
 def event_lines(events: DataFrame) -> DataFrame:
     """The rows of ``EVENT_LINES_SQL``."""
+    events = dealt(events, "event_id", "user_id", "event_type", "ts")
     return made_once(
         with_line(events, "user_id").select(
             F.expr("concat('events/', event_type, '.log')").alias("file_path"),
