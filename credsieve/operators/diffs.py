@@ -41,32 +41,18 @@ def added_lines(
     ``diff_lines`` has ``diff_id``, ``seq`` and ``raw``: the text of a diff, line by line.
     Reading a diff means carrying the current file and a line counter from line to line. Within
     a block of lines that is a window; what a block hands to the next is worked out on one small
-    row per block; so one huge diff spreads over as many tasks as it has blocks.
+    row per block; so one huge diff spreads over as many tasks as it has blocks. Only diffs of several
+    blocks hand anything on, so the lines of all others are read and ordered once.
     """
     block = F.floor(F.col("seq") / block_lines)
-    marked = _kinds(diff_lines.select("diff_id", "seq", "raw", *keep).withColumn("block", block))
-    # Of other lines all that matters is known by now, so their text need not travel.
-    marked = marked.withColumn("raw", F.when(F.col("kind") == "added", F.col("raw")))
-
-    sofar = (
-        Window.partitionBy("diff_id", "block")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = marked.withColumn("file", F.last("opens", ignorenulls=True).over(sofar))
-    # Added lines count only where there is a file. Before the first file of the block that
-    # depends on the block before, so both cases are counted.
-    has_file = F.coalesce(F.col("file.path") != "", F.lit(False))
-    for case, file_before in (("with", True), ("without", False)):
-        known = F.when(F.col("file").isNull(), F.lit(file_before)).otherwise(has_file)
-        step = F.when(F.col("kind") == "added", known.cast("int")).when(F.col("kind") == "context", 1)
-        local = local.withColumn(f"steps_{case}", F.sum(F.coalesce(step, F.lit(0))).over(sofar))
-        local = local.withColumn(
-            f"shift_{case}",
-            F.last(F.col("restarts") - F.col(f"steps_{case}"), ignorenulls=True).over(sofar),
-        )
-
-    blocks = local.groupBy("diff_id", "block").agg(
+    numbered = diff_lines.select("diff_id", "seq", "raw", *keep).withColumn("block", block)
+    numbered = numbered.filter(F.col("diff_id").isNotNull() & F.col("block").isNotNull())
+    local = _within_blocks(numbered)
+
+    handing = numbered.filter(F.col("block") > 0).select(F.col("diff_id").alias("_long")).distinct()
+    any_long = handing.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
+    long_diffs = numbered.filter(any_long).join(handing, F.col("diff_id") == F.col("_long"), "left_semi")
+    blocks = _within_blocks(long_diffs).groupBy("diff_id", "block").agg(
         F.max_by(F.struct("file", "steps_with", "steps_without", "shift_with", "shift_without"), "seq").alias("end")
     )
     before = (
@@ -82,7 +68,7 @@ def added_lines(
         .withColumn("shift", _case("shift"))
         .withColumn("steps_in", F.coalesce(F.sum("steps").over(before), F.lit(0)))
         .withColumn("shift_in", F.last(F.col("shift") - F.col("steps_in"), ignorenulls=True).over(before))
-        .select("diff_id", "block", "file_in", "with_file", "steps_in", "shift_in")
+        .select("diff_id", "block", "file_in", "with_file", F.col("steps_in").alias("steps_before"), "shift_in")
     )
 
     steps_here, shift_here = _case("steps"), _case("shift")
@@ -92,8 +78,9 @@ def added_lines(
         + F.coalesce(shift_here - F.col("steps_in"), F.col("shift_in"), F.lit(0))
     )
     out = (
-        local.join(carried, ["diff_id", "block"])
-        .filter(F.col("kind") == "added")
+        local.filter(F.col("kind") == "added")
+        .join(carried, ["diff_id", "block"], "left")
+        .withColumn("steps_in", F.coalesce("steps_before", F.lit(0)))
         .select(
             "diff_id",
             "seq",
@@ -110,6 +97,32 @@ def added_lines(
     return out
 
 
+def _within_blocks(lines: DataFrame) -> DataFrame:
+    """Diff lines with the file and the counts that their own block up to there gives them."""
+    marked = _kinds(lines)
+    kind = F.col("kind")
+    # Other lines neither open a file nor count nor restart a count.
+    marked = marked.filter(~kind.isin("removed", "no name"))
+    # Of lines that were not added all that matters is known by now, so their text need not travel.
+    marked = marked.withColumn("raw", F.when(kind == "added", F.col("raw")))
+    sofar = (
+        Window.partitionBy("diff_id", "block")
+        .orderBy("seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = marked.withColumn("file", F.last("opens", ignorenulls=True).over(sofar))
+    # Added lines count only where there is a file. Before the first file of the block that
+    # depends on the block before, so both cases are counted.
+    has_file = F.coalesce(F.col("file.path") != "", F.lit(False))
+    steps, shifts = {}, {}
+    for case, file_before in (("with", True), ("without", False)):
+        known = F.when(F.col("file").isNull(), F.lit(file_before)).otherwise(has_file)
+        step = F.when(kind == "added", known.cast("int")).when(kind == "context", 1)
+        steps[f"steps_{case}"] = F.sum(F.coalesce(step, F.lit(0))).over(sofar)
+        shifts[f"shift_{case}"] = F.last(F.col("restarts") - F.col(f"steps_{case}"), ignorenulls=True).over(sofar)
+    return local.withColumns(steps).withColumns(shifts)
+
+
 def _case(name: str) -> Column:
     return F.when(F.col("with_file"), F.col(f"{name}_with")).otherwise(F.col(f"{name}_without"))
 
@@ -128,7 +141,8 @@ def _kinds(lines: DataFrame) -> DataFrame:
     hunk = raw.startswith("@@ ")
     kind = (
         F.when(header, "header")
-        .when(new_name | no_name, "name")
+        .when(new_name, "name")
+        .when(no_name, "no name")
         .when(hunk, "hunk")
         .when(raw.startswith("+") & ~raw.startswith("+++"), "added")
         .when(raw.startswith("-"), "removed")
