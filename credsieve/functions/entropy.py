@@ -50,8 +50,9 @@ def _letters(kept: Column) -> Column:
 
 
 def _entropy(kept: Column, letters: Column) -> Column:
-    n = F.length(kept)
-    counts = F.transform(letters, lambda c: n - F.length(F.replace(kept, c, F.lit(""))))
+    # Both alphabets are ASCII, so bytes are characters and need no counting.
+    n = F.octet_length(kept)
+    counts = F.transform(letters, lambda c: n - F.octet_length(F.replace(kept, c, F.lit(""))))
     weighted = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.log2(n) - weighted / n)
 

@@ -10,6 +10,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated one time however often the body names it.
 
     Inside a lambda Spark re-evaluates a repeated subtree for every element, so a costly
-    value that a lambda refers to has to be bound first.
+    value that a lambda refers to has to be bound first. It is the start of an aggregate over nothing: an item
+    taken out of a one-item ``transform`` would work out the type of the whole body anew for every row.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)

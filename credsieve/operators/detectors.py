@@ -6,7 +6,6 @@ column expressions, so the same detector serves batch and streaming plans withou
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import Protocol
@@ -19,18 +18,13 @@ from credsieve.functions.dialect import JvmPattern, NoJvmForm, jvm_pattern
 from credsieve.functions.entropy import fewest_letters, is_high_entropy, tokens
 from credsieve.functions.lets import let
 from credsieve.functions.runs import has_long_run
-from credsieve.functions.spans import find_spans, overlaps
+from credsieve.functions.spans import found_parts, overlaps, place_parts
 from credsieve.operators.exact import exact_hits
 from credsieve.schema import HIT
 
 HITS = f"array<{HIT.simpleString()}>"
 LONG_RUN = 16
 
-_RULE_TABLE = (
-    "array<struct<ord: int, id: string, name: string, severity: string, regex: string, grouped: boolean, "
-    "anchors: array<string>, folded: array<string>>>"
-)
-
 # How entropy hits are labelled.
 ENTROPY_RULE = ("high-entropy-string", "High Entropy String", "medium")
 
@@ -116,45 +110,39 @@ class RegexDetector:
         return F.concat(*found) if found else F.array().cast(HITS)
 
     def _native_hits(self, content: Column) -> Column:
-        """Pick the rules with an anchor on the line, then run one shared search over those.
+        """Search for the rules with an anchor on the line, then place what they found in one shared step.
 
-        The rules are one constant of the plan. Few of them pass on any line, so the costly part
-        is written once and not once per rule.
+        Each pattern is a constant, which the JVM compiles once; as a column of a rule table it would be
+        compiled for every line. Few rules are searched for on any line.
         """
-        rules = F.from_json(F.lit(json.dumps([self._row(*r) for r in self.native])), _RULE_TABLE)
 
-        def picked(folded: Column) -> Column:
-            return F.filter(
-                rules,
-                lambda r: F.exists(r["anchors"], lambda t: content.contains(t))
-                | F.exists(r["folded"], lambda t: folded.contains(t)),
-            )
+        def found(folded: Column) -> Column:
+            return F.filter(F.array(*[self._found(content, folded, *r) for r in self.native]), lambda r: r.isNotNull())
 
         return F.flatten(
             F.transform(
-                let(F.lower(content), picked),
+                let(F.lower(content), found),
                 lambda r: F.transform(
-                    find_spans(content, r["regex"], r["grouped"]),
+                    place_parts(r["parts"]),
                     lambda s: hit(s, (r["id"], r["name"], r["severity"]), "regex", 0, r["ord"]),
                 ),
             )
         )
 
     @staticmethod
-    def _row(i: int, rule: RegexRule, form: JvmPattern) -> dict[str, object]:
+    def _found(content: Column, folded: Column, i: int, rule: RegexRule, form: JvmPattern) -> Column:
+        """The matches of one rule with its labels, null where none of its anchors is on the line."""
         anchors = [form.literal] if form.literal else list(rule.anchor)
-        folded = [] if anchors else list(rule.folded)
-        return {
-            "ord": i,
-            "id": rule.id,
-            "name": rule.name,
-            "severity": rule.severity,
-            "regex": form.regex,
-            "grouped": form.grouped,
-            # Without any anchor the rule is searched for on every candidate line.
-            "anchors": anchors if anchors or folded else [""],
-            "folded": folded,
-        }
+        tests = [content.contains(t) for t in anchors] or [folded.contains(t) for t in rule.folded]
+        labels = F.struct(
+            F.lit(i).alias("ord"),
+            F.lit(rule.id).alias("id"),
+            F.lit(rule.name).alias("name"),
+            F.lit(rule.severity).alias("severity"),
+            found_parts(content, F.lit(form.regex), form.grouped).alias("parts"),
+        )
+        # Without any anchor the rule is searched for on every candidate line.
+        return F.when(_any(tests) if tests else F.lit(True), labels)
 
     def _exact_guard(self, content: Column) -> Column:
         if all(r.anchor for _, r in self.exact):
