@@ -9,7 +9,7 @@ left at most; that one is cut into sequences whose lengths are powers of two. No
 
 from __future__ import annotations
 
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,50 +29,71 @@ CHARS_OUT = 1 << 24
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> str:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return "".join(chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256))
+
+
 class TokenBytes(dict):
     """Little-endian 32-bit ids of white-space-free chunks, remembered up to a bound.
 
     The vocabulary's tokens never span white space, so a text's ids are those of its chunks in a row.
     A chunk that is a letter's end followed by ASCII marks (no apostrophe) is cut there, as the
-    vocabulary cuts it; a chunk of ASCII letters is one entry of the model whatever its case.
+    vocabulary cuts it; a chunk of Latin letters is one entry of the model whatever its case.
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    # Letters below this are composed already and stay letters in lower case, but for one.
+    LATIN_END, DOTTED = "\u0180", "\u0130"
+    LETTERS = byte_letters()
 
     def __init__(self, path: str, remembered: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
 
     def __missing__(self, chunk: str) -> bytes:
-        core = chunk.rstrip(self.MARKS)
-        if not chunk:
+        if chunk.isalpha():
+            packed = self.word(chunk)
+        elif not chunk:
             return b""
-        if core and core != chunk and core[-1].lower()[-1].isalpha() and not any(s in chunk for s in self.special):
-            packed = self.part(core.lower() if core.isascii() else core) + self.part(chunk[len(core) :])
         else:
-            packed = self.part(chunk)
-        return self.remember(chunk, packed)
-
-    def part(self, chunk: str) -> bytes:
-        packed = self.get(chunk)
-        if packed is None:
-            if chunk.isascii() and chunk.isalpha():
-                ids = [t.id for t in self.tokenizer.model.tokenize(chunk.lower())]
+            core = chunk.rstrip(self.MARKS)
+            if core and core != chunk and core[-1].lower()[-1].isalpha() and not self.holds_special(chunk):
+                packed = self[core.lower() if core.isascii() else core] + self[chunk[len(core) :]]
             else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            packed = self.remember(chunk, struct.pack(f"<{len(ids)}I", *ids))
-        return packed
-
-    def remember(self, chunk: str, packed: bytes) -> bytes:
+                packed = self.encoded(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.remembered:
                 self.clear()
             self[chunk] = packed
         return packed
 
+    def holds_special(self, chunk: str) -> bool:
+        for s in self.special:
+            if s in chunk:
+                return True
+        return False
+
+    def word(self, chunk: str) -> bytes:
+        """A chunk of letters."""
+        lowered = chunk.lower()
+        if not chunk.isascii():
+            if max(chunk) >= self.LATIN_END or self.DOTTED in chunk:
+                return self.encoded(chunk)
+            lowered = lowered.encode().decode("latin-1").translate(self.LETTERS)
+        elif lowered != chunk:
+            return self[lowered]
+        return array("I", [t.id for t in self.model.tokenize(lowered)]).tobytes()
+
+    def encoded(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))

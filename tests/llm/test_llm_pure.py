@@ -32,6 +32,17 @@ def test_chunks_give_the_ids_of_the_whole_text(tokens, text):
     assert np.frombuffer(tokens.of(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_words_are_entries_of_the_model(tokens):
+    """Every Latin letter, alone, in a word and before marks; none of them takes the whole tokenizer."""
+    letters = [c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c != tokens.DOTTED]
+    texts = [t for c in letters for t in (c, f"Stra{c}e", f"{c}{c}o", f"na{c}")]
+    whole = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, ",."]]
+    fresh = packing.TokenBytes(queries.tokenizer_path())
+    fresh.encoded = {",.": np.asarray(whole[-1], "<u4").tobytes()}.__getitem__
+    assert [np.frombuffer(fresh.of(t), "<u4").tolist() for t in texts] == whole[:-1]
+    assert [np.frombuffer(fresh.of(f"{t},."), "<u4").tolist() for t in texts] == [w + whole[-1] for w in whole[:-1]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200), st.integers(1, 20))
 def test_each_token_is_packed_once_without_padding(sizes, most_open):
