@@ -4,12 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from credsieve.llm import fuzzy_lines, hamming, linking, minhash, mixing, packing, paragraphs, pii, quality, queries, warc
-from credsieve.llm.common import WordHashes
+from credsieve.llm.common import CLEANED, WordHashes, stash
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -79,6 +80,38 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want)
 
 
+def shuffle_files(spark):
+    names = [f.getName() for f in _each(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())]
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_stashing_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANED)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(r["count"] for r in stash(rows, "counts").collect()) == [142] + [143] * 6
+    assert shuffle_files(spark) <= before and spark.conf.get(CLEANED) == setting
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shared_buckets_over_batches_of_any_size(size):
+    rng = np.random.default_rng(size)
+    rows = sorted(zip(rng.integers(0, 90, 300).tolist(), rng.integers(0, 3, 300).tolist(), strict=True)) + [(91, 5)] * 3 + [(92, 1), (92, 1), (92, 2)]
+    table = pa.table({"id": [i for _, i in rows], "key": [k for k, _ in rows]})
+    got = [r for b in linking.shared_buckets(iter(table.to_batches(size))) for r in zip(b["key"].to_pylist(), b["id"].to_pylist(), strict=True)]
+    assert got == [r for r in sorted(set(rows)) if len({i for k, i in rows if k == r[0]}) > 1]
+
+
+def test_members_that_meet_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 1), (3, 7)], "key long, id long")
+    alive = linking.alive_members(rows)
+    assert alive._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, alive.collect())) == [(1, 1), (1, 2)]
+
+
 def test_paragraphs(spark, family):
     docs = [(i, "\n".join(family[3 * i : 3 * i + 3])) for i in range(len(family) // 3)]
     places = [(i, k, p) for i, t in docs for k, p in enumerate(t.split("\n")) if len(p.split()) >= 25]
