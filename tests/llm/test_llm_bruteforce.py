@@ -112,6 +112,16 @@ def test_members_that_meet_are_shuffled_once(spark):
     assert sorted(map(tuple, alive.collect())) == [(1, 1), (1, 2)]
 
 
+def test_open_pairs_are_made_in_one_of_their_buckets(spark):
+    """Ids 1 to 3 share five buckets, 3 and 4 two; 1 and 2 are one group already."""
+    places = [(k, i) for k in range(10, 15) for i in (1, 2, 3)] + [(k, i) for k in (20, 21) for i in (3, 4)]
+    group = {1: 1, 2: 1, 3: 3, 4: 4}
+    rows = linking.contested(spark.createDataFrame([(k, i, group[i]) for k, i in places], "key long, id long, component long"))
+    facts = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    pairs = linking.cross_pairs(rows, facts, linking.shared_first).collect()
+    assert sorted(map(tuple, pairs)) == [(3, 1), (3, 2), (4, 3)]
+
+
 def test_paragraphs(spark, family):
     docs = [(i, "\n".join(family[3 * i : 3 * i + 3])) for i in range(len(family) // 3)]
     places = [(i, k, p) for i, t in docs for k, p in enumerate(t.split("\n")) if len(p.split()) >= 25]

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from credsieve.llm import fuzzy_lines, html_text, minhash, packing, pii, quality, queries, warc
+from credsieve.llm import common, fuzzy_lines, html_text, minhash, packing, paragraphs, pii, quality, queries, warc
 from credsieve.llm.common import WordHashes, shingle_set
 
 
@@ -134,6 +134,18 @@ def test_shingle_sets(words):
     assert len(shingle_set(" ".join(words), 5, WordHashes())) == len(want)
 
 
+@pytest.mark.parametrize("least", [1, 5])
+def test_signing_many_paragraphs_is_signing_each(least):
+    rng = np.random.default_rng(least)
+    texts = [[b"w%d" % w for w in rng.integers(0, 9, n)] for n in rng.integers(least, 40, 50)]
+    known = WordHashes()
+    shingles, starts = paragraphs.all_shingles(known.of([w for t in texts for w in t]), np.asarray([*map(len, texts)]), 5)
+    family = common.hash_family(24, 3)
+    got = minhash.band_keys(paragraphs.least_hashes(shingles, starts, *family), 2)
+    sets = [common.shingle_set(b" ".join(t).decode(), 5, known) for t in texts]
+    assert [g.tolist() for g in got] == [minhash.band_keys(common.min_hashes(s, *family), 2).tolist() for s in sets]
+
+
 def test_the_agreement_bound_loses_next_to_nothing():
     k = minhash.least_agreement(108, 75)
     from math import comb
