@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -239,3 +240,78 @@ def test_trees_learn_a_conjunction_and_thresholds_hold():
     lowest = pii.calibrated(model, rows, 0.95)
     assert {bits for bits, _, _ in rows if round(score(bits), 6) >= lowest} == {3, 7, 11, 15}
     assert pii.calibrated(model, [(b, n, y) for b, y, n in rows], 0.999) is None
+
+
+def line_table(texts):
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "text"])
+
+
+def test_lines_and_runs_travel_in_few_rows():
+    """Two thousand runs and more are a few packets, and all that was packed comes out of them."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.random())[2:5].translate(str.maketrans("0123456789", "klmnopqrst")) for _ in range(40)) for _ in range(120)]
+    rarity = np.zeros(fuzzy_lines.CELLS, np.uint8)
+    out = list(fuzzy_lines.line_worker(80, 64, rarity, 3)(iter([line_table([*texts, texts[0]])])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) <= 6 and sum(r["rows"] for r in rows if r["lines"]) == 121
+    runs = [fuzzy_lines.unpacked(r["packet"], r["rows"], fuzzy_lines.RUNS) for r in rows if not r["lines"]]
+    assert sum(len(c[0]) for c in runs) > 2000 and len({i for c in runs for i in c[1].tolist()}) == 120
+    lines = [fuzzy_lines.unpacked(r["packet"], r["rows"], fuzzy_lines.LINES) for r in rows if r["lines"]]
+    assert sorted(i for c in lines for i in c[1].tolist()) == list(range(121))
+    assert all((c[4] == 40).all() for c in lines)
+
+
+@pytest.mark.parametrize("values", [6, 1 << 20])
+def test_runs_of_many_lines_are_chosen_like_those_of_one(values):
+    rng = np.random.default_rng(values)
+    for shortest, width in ((4, 2), (9, 3), (40, 3), (70, 3)):
+        sizes = rng.integers(shortest, shortest * 9 // 8 + 1, 30)
+        counts, edits = sizes - width + 1, 20 * (100 * sizes // 80) // 100
+        ranked = rng.integers(0, values, (30, counts.max())).astype(np.uint64)
+        ranked[np.arange(counts.max()) >= counts[:, None]] = np.iinfo(np.uint64).max
+        last = fuzzy_lines.last_of_each(ranked, counts, width, edits)
+        for row, n, k, bound in zip(ranked, counts.tolist(), edits.tolist(), last, strict=True):
+            apart = lambda b: fuzzy_lines.disjoint(np.flatnonzero(row[:n] <= b).tolist(), width)  # noqa: B023, E731
+            assert apart(bound) > min(k, apart(row[:n].max()) - 1)
+            assert values < 10 or bound == fuzzy_lines.last_held_out(row[:n], width, k)
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    words = [b"a", b"ab", b"ba", "é".encode(), b"x" * 200_000, *(b"w%d" % k for k in range(40_000)), b"ab", b"a"]
+    hashes = fuzzy_lines.word_hasher()(b"".join(w + b" " for w in words))
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words)) == len(words) - 2
+    assert hashes[0] == hashes[-1] and hashes[1] == hashes[-2]
+    assert fuzzy_lines.word_hasher()(b"ab ").tolist() == [hashes[1]]
+
+
+def test_alike_is_edit_distance():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [rng.choice([b"a", b"b", b"c", b"d", b"e", b"f"]) for _ in range(rng.randrange(1, 30))]
+        b = [w if rng.random() < 0.85 else rng.choice([b"a", b"x"]) for w in a if rng.random() < 0.95] or [b"a"]
+        longest, far = max(len(a), len(b)), fuzzy_lines.edit_distance(a, b)
+        assert fuzzy_lines.alike(b" ".join(a), b" ".join(b), 80) == (100 * (longest - far) >= 80 * longest)
+        assert (fuzzy_lines.edit_distance(a, b, 3) <= 3) == (far <= 3)
+
+
+@pytest.mark.parametrize(("small", "each"), [(256, 4), (256, 0), (1, 4)])
+def test_met_runs_lose_no_pair(monkeypatch, small, each):
+    """A pair that may be alike is made at once, or both lines stay in an open bucket."""
+    monkeypatch.setattr(fuzzy_lines, "SMALL", small)
+    monkeypatch.setattr(fuzzy_lines, "EACH", each)
+    rng = np.random.default_rng(2)
+    ids, keys = rng.integers(-60, 60, 700), rng.integers(0, 90, 700)
+    n = 10 + ids % 7
+    lo = (ids * 31 + keys * 17) % 8
+    rows = [keys.astype(np.uint64), ids.astype(np.int64), n.astype(np.int32), lo.astype(np.int32), (lo + ids % 2).astype(np.int32)]
+    a, b, star, key, member = fuzzy_lines.met_runs([np.concatenate([c, c[:50]]) for c in rows], 80)
+    made, left = set(zip(a.tolist(), b.tolist(), strict=True)), set(zip(key.tolist(), member.tolist(), strict=True))
+    assert len(made) == len(a) and star.any() and (a > b).all()
+    want = {
+        (int(k), max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j])))
+        for k in set(keys.tolist()) for i in np.flatnonzero(keys == k) for j in np.flatnonzero(keys == k)
+        if fuzzy_lines.compatible(rows, np.array([i]), np.array([j]), 80)[0]
+    }
+    assert len(want) > 300 and all((x, y) in made or {(k, x), (k, y)} <= left for k, x, y in want)
+    assert made <= {(x, y) for _, x, y in want}
