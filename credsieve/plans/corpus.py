@@ -191,10 +191,10 @@ def dealt(rows: DataFrame, *columns: str) -> DataFrame:
     """These columns, dealt to as many tasks as shuffles have.
 
     A table of few bytes, or of one row group, is read by few tasks, and its lines are much work. Streams and
-    tables are dealt alike, by all values, so that neither nulls nor one repeated key gather rows.
+    tables are dealt alike, in turn, so that neither nulls nor repeated rows gather.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*columns).repartition(parts, *columns)
+    return rows.select(*columns).repartition(parts)
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
